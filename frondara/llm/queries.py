@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frondara.llm import lookalikes, percentiles, tokens
+from frondara.llm import leaks, lookalikes, percentiles, tokens
 from frondara.session import broadcast_if_small, table
 
 PROBS, NAMES = (0.05, 0.25, 0.5, 0.75, 0.95), ("p05", "p25", "p50", "p75", "p95")
@@ -66,13 +66,18 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_ids(table(spark, sf_dir, "documents"))
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a held-out passage or a long run of it; each pair once."""
+    return leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).distinct()
+
+
 def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of the documents over the limit."""
     return tokens.pieces(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
-    "p1_found": p1_found, "p1_percentiles": p1_percentiles, "p1_by_day": p1_by_day, "p4_found": p4_found, "p4_forms": p4_forms, "p8_ids": p8_ids, "p10_pieces": p10_pieces,
+    "p1_found": p1_found, "p1_percentiles": p1_percentiles, "p1_by_day": p1_by_day, "p4_found": p4_found, "p4_forms": p4_forms, "p8_ids": p8_ids, "p9_found": p9_found, "p10_pieces": p10_pieces,
 }
 
 _ALT = "altitud IS NOT NULL AND NOT isnan(altitud) AND altitud >= -500"
