@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frondara.llm import leaks, lookalikes, percentiles, tokens
+from frondara.llm import leaks, lookalikes, percentiles, scans, tokens
 from frondara.session import broadcast_if_small, table
 
 PROBS, NAMES = (0.05, 0.25, 0.5, 0.75, 0.95), ("p05", "p25", "p50", "p75", "p95")
@@ -44,6 +44,21 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored.join(medians, "species").where(F.col("said") != F.col("median").between(F.col("lo"), F.col("hi"))).select("species")
 
 
+P2_FIELDS = (("raw_fichas", "raw_id", "distribution_paragraph"), ("raw_fichas", "raw_id", "header_block"), ("distribution_fichas", "dist_id", "habitat_raw"))
+
+
+def p2_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(field, rec_id, clean, kinds): continuous readable text of the three fields."""
+    parts = [table(spark, sf_dir, t).select(F.lit(c).alias("field"), F.col(i).alias("rec_id"), F.col(c).alias("text")) for t, i, c in P2_FIELDS]
+    texts = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return scans.readable(texts, ("habitat_raw",)).select("field", "rec_id", "clean", "kinds")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each kind of scanning trace that a text has."""
+    return p2_clean(spark, sf_dir).select("field", "rec_id", F.explode("kinds").alias("kind")).distinct()
+
+
 P4_FIELDS = (("fichas", "ficha_id", "species"), ("entity_refs", "ref_id", "canonical_name"), ("distribution_fichas", "dist_id", "habitat_raw"))
 
 
@@ -77,7 +92,7 @@ def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p1_percentiles": p1_percentiles, "p1_by_day": p1_by_day, "p4_found": p4_found, "p4_forms": p4_forms, "p8_ids": p8_ids, "p9_found": p9_found, "p10_pieces": p10_pieces,
+    "p1_found": p1_found, "p1_percentiles": p1_percentiles, "p1_by_day": p1_by_day, "p2_found": p2_found, "p2_clean": p2_clean, "p4_found": p4_found, "p4_forms": p4_forms, "p8_ids": p8_ids, "p9_found": p9_found, "p10_pieces": p10_pieces,
 }
 
 _ALT = "altitud IS NOT NULL AND NOT isnan(altitud) AND altitud >= -500"
