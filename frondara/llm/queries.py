@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frondara.llm import leaks, lookalikes, percentiles, scans, tokens
+from frondara.llm import gazetteer, leaks, lookalikes, percentiles, scans, tokens
 from frondara.session import broadcast_if_small, table
 
 PROBS, NAMES = (0.05, 0.25, 0.5, 0.75, 0.95), ("p05", "p25", "p50", "p75", "p95")
@@ -76,6 +76,32 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p4_forms(spark, sf_dir).where(F.col("text") != F.col("unified")).select("field", "rec_id")
 
 
+REGION_LEVELS = ["cordillera", "llanura", "valle", "península", "fila", "other"]
+
+
+def _typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(field, rec_id, pos, value, levels) of all typed place names; a row without a level may have any."""
+    refs = table(spark, sf_dir, "entity_refs").select(
+        F.lit("source_span").alias("field"), F.col("ref_id").alias("rec_id"), F.lit(0).alias("pos"), F.col("source_span").alias("value"),
+        F.when(F.col("hierarchy_level").isNotNull(), F.array("hierarchy_level")).alias("levels"),
+    )
+    regions = table(spark, sf_dir, "fichas").select(F.lit("regions").alias("field"), F.col("ficha_id").alias("rec_id"), F.posexplode("regions").alias("pos", "value"))
+    return refs.unionByName(regions.withColumn("levels", F.array(*[F.lit(x) for x in REGION_LEVELS])))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entry, or -1, of every typed place name that is not letter for letter a canonical name."""
+    names = table(spark, sf_dir, "gazetteer")
+    return gazetteer.map_values(gazetteer.not_canonical(_typed(spark, sf_dir), names), names).select("field", "rec_id", "pos", "gaz_id")
+
+
+def p6_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(ref_id, gaz_id, canonical_name) of every entity_refs row with a source_span, the name put right; null where no entry is meant."""
+    names = table(spark, sf_dir, "gazetteer")
+    mapped = gazetteer.map_values(_typed(spark, sf_dir).where((F.col("field") == "source_span") & F.col("value").isNotNull()), names)
+    return mapped.join(broadcast_if_small(names.select("gaz_id", "canonical_name")), "gaz_id", "left").select(F.col("rec_id").alias("ref_id"), "gaz_id", "canonical_name")
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document."""
     return tokens.token_ids(table(spark, sf_dir, "documents"))
@@ -92,7 +118,7 @@ def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p1_percentiles": p1_percentiles, "p1_by_day": p1_by_day, "p2_found": p2_found, "p2_clean": p2_clean, "p4_found": p4_found, "p4_forms": p4_forms, "p8_ids": p8_ids, "p9_found": p9_found, "p10_pieces": p10_pieces,
+    "p1_found": p1_found, "p1_percentiles": p1_percentiles, "p1_by_day": p1_by_day, "p2_found": p2_found, "p2_clean": p2_clean, "p4_found": p4_found, "p4_forms": p4_forms, "p6_found": p6_found, "p6_canonical": p6_canonical, "p8_ids": p8_ids, "p9_found": p9_found, "p10_pieces": p10_pieces,
 }
 
 _ALT = "altitud IS NOT NULL AND NOT isnan(altitud) AND altitud >= -500"
