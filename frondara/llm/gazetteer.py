@@ -211,9 +211,10 @@ def map_values(values: DataFrame, reference: DataFrame, shard_entries: int = SHA
 
     won = asked.groupBy("_shard", "_part").cogroup(entries.groupBy("_shard", "_part")).applyInPandas(join, "value string, levels array<string>, gaz_id bigint, distance int")
     won = won.groupBy("value", "levels").agg(F.min(F.when(F.col("gaz_id") >= 0, F.struct("distance", "gaz_id"))).alias("_w"))
-    same = values["value"].eqNullSafe(won["value"]) & values["levels"].eqNullSafe(won["levels"])
-    hit = [F.when(values["value"].isNotNull(), F.coalesce(F.col(f"_w.{c}"), F.lit(-1))).alias(c) for c in ("gaz_id", "distance")]
-    return values.join(won, same, "left").select(*[values[c] for c in cols], *hit)
+    won = won.select(F.col("value").alias("_value"), F.col("levels").alias("_levels"), "_w")
+    same = F.col("value").eqNullSafe(F.col("_value")) & F.col("levels").eqNullSafe(F.col("_levels"))
+    hit = [F.when(F.col("value").isNotNull(), F.coalesce(F.col(f"_w.{c}"), F.lit(-1))).alias(c) for c in ("gaz_id", "distance")]
+    return values.join(won, same, "left").select(*cols, *hit)
 
 
 def not_canonical(values: DataFrame, reference: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frondara.llm import gazetteer, leaks, lookalikes, percentiles, scans, tokens
+from frondara.llm import gazetteer, leaks, lookalikes, matching, percentiles, scans, tokens
 from frondara.session import broadcast_if_small, table
 
 PROBS, NAMES = (0.05, 0.25, 0.5, 0.75, 0.95), ("p05", "p25", "p50", "p75", "p95")
@@ -76,6 +76,23 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p4_forms(spark, sf_dir).where(F.col("text") != F.col("unified")).select("field", "rec_id")
 
 
+#: Confidence from which a pair counts as found.
+MATCH_CONFIDENCE = 0.5
+
+
+def p5_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(ficha_id, taxon_key, confidence) of all candidate pairs."""
+    fichas = {"rec": "ficha_id", "name": "species", "authority": "authority", "synonyms": "synonyms", "family": "family"}
+    taxa = {"rec": "taxon_key", "name": "scientific_name", "authority": "authorship", "synonyms": "other_names", "family": "family"}
+    out = matching.match_names(table(spark, sf_dir, "fichas"), table(spark, sf_dir, "taxon_backbone"), fichas, taxa)
+    return out.select(F.col("left").alias("ficha_id"), F.col("right").alias("taxon_key"), "confidence")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of records that name the same species."""
+    return p5_pairs(spark, sf_dir).where(F.col("confidence") >= MATCH_CONFIDENCE).select("ficha_id", "taxon_key")
+
+
 REGION_LEVELS = ["cordillera", "llanura", "valle", "península", "fila", "other"]
 
 
@@ -118,7 +135,7 @@ def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p1_percentiles": p1_percentiles, "p1_by_day": p1_by_day, "p2_found": p2_found, "p2_clean": p2_clean, "p4_found": p4_found, "p4_forms": p4_forms, "p6_found": p6_found, "p6_canonical": p6_canonical, "p8_ids": p8_ids, "p9_found": p9_found, "p10_pieces": p10_pieces,
+    "p1_found": p1_found, "p1_percentiles": p1_percentiles, "p1_by_day": p1_by_day, "p2_found": p2_found, "p2_clean": p2_clean, "p4_found": p4_found, "p4_forms": p4_forms, "p5_found": p5_found, "p5_pairs": p5_pairs, "p6_found": p6_found, "p6_canonical": p6_canonical, "p8_ids": p8_ids, "p9_found": p9_found, "p10_pieces": p10_pieces,
 }
 
 _ALT = "altitud IS NOT NULL AND NOT isnan(altitud) AND altitud >= -500"
