@@ -2,8 +2,8 @@
 
 1. Every name of a record (accepted or synonym) is taken apart into genus, epithet and author surnames; equal name
    strings are worked on once.
-2. Candidates share a band of MinHash values: of the genus' letter pairs and of the epithet's, or, in fewer rows, of
-   both together with an author.
+2. Candidates share a band of MinHash values: of the genus' letter pairs and the epithet's letter triples, or, in fewer
+   rows, of both together with an author. Epithets differ so much in triples that few of one genus meet by chance.
 3. Name pairs get features (edits in genus and epithet, agreement of authors), record pairs the best of their name
    pairs, how many agree, and the families.
 4. A logistic classifier is trained on weak labels, some of them with the author hidden, and calibrated on held-out ones.
@@ -27,7 +27,9 @@ from frondara.llm.lookalikes import unify
 from frondara.session import cut
 
 #: Bands over names, rows of the epithet's MinHash in one; bands with an author, which have one row of the epithet's.
-BANDS, ROWS, AUTHOR_BANDS = 28, 3, 8
+BANDS, ROWS, AUTHOR_BANDS = 36, 2, 24
+#: Letters in a row that count as one feature: of a genus, which tells little, and of an epithet, which tells most.
+GENUS_GRAM, EPITHET_GRAM = 2, 3
 #: Letters of an epithet's end that don't count for blocking, since endings are shared by very many names.
 ENDING = 4
 #: Most edits of a name pair.
@@ -91,9 +93,10 @@ def split_name(raw: str | None) -> tuple[str, str, str]:
     return re.sub(r"[^a-z]", "", genus), re.sub(r"[^a-z]", "", epithet), " ".join(words[2:])
 
 
-def _grams(word: str, mark: str) -> np.ndarray:
-    padded = f"^{word}"
-    return np.array([zlib.crc32((mark + padded[i : i + 2]).encode()) for i in range(max(1, len(padded) - 1))], np.uint64)
+def _grams(word: str, size: int) -> np.ndarray:
+    """Hashes of the letters that stand in a row, whatever their order, so that exchanged neighbours change little."""
+    padded = "^" * (size - 1) + word
+    return np.array([zlib.crc32("".join([str(size), *sorted(padded[i : i + size])]).encode()) for i in range(max(1, len(padded) - size + 1))], np.uint64)
 
 
 def _minhash(grams: np.ndarray, which: slice) -> np.ndarray:
@@ -105,8 +108,8 @@ def block_keys(genus: str, epithet: str, author: str) -> list[int]:
     if not genus or not epithet:
         return []
     stem = epithet[:-ENDING] if len(epithet) > ENDING + 3 else epithet
-    g = _minhash(_grams(genus, "g"), slice(0, BANDS))
-    e = _minhash(_grams(stem, "e"), slice(BANDS, _N)).reshape(BANDS, ROWS)
+    g = _minhash(_grams(genus, GENUS_GRAM), slice(0, BANDS))
+    e = _minhash(_grams(stem, EPITHET_GRAM), slice(BANDS, _N)).reshape(BANDS, ROWS)
     mixed = np.concatenate([np.arange(BANDS, dtype=np.uint64)[:, None], g[:, None], e], axis=1)
     keys = np.zeros(BANDS, np.uint64)
     for col in mixed.T:
@@ -206,13 +209,13 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 40
 
 
 def train(pairs: DataFrame) -> Classifier:
-    """Fit on weak labels: same name and agreeing authors, or two agreeing names, against unrelated authors.
+    """Fit on weak labels: at most two edits and agreeing authors, against unrelated authors.
 
     Each labelled pair counts a second time with its author hidden if its names are equal and it is positive, or if its
     names differ by more than two edits and it is negative, so that the names alone get their weight too.
     """
     near = F.col("d_genus") + F.col("d_epithet")
-    label = F.when((F.col("agree") == 1) & (near <= 1) & (F.col("disagree") == 0), 1).when((F.col("disagree") == 1) & (F.col("agree") == 0), 0)
+    label = F.when((F.col("agree") == 1) & (near <= 2) & (F.col("disagree") == 0), 1).when((F.col("disagree") == 1) & (F.col("agree") == 0), 0)
     sample = pairs.withColumn("label", label).where(F.col("label").isNotNull()).orderBy(F.xxhash64("left", "right")).limit(TRAIN_ROWS).select(*FEATURES, "label").toPandas()
     if sample["label"].nunique() < 2:
         # Without both labels the weights are the plain reading of the features.
