@@ -98,13 +98,13 @@ def filter_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return put_right(points).select("species", "lon", "lat").distinct()
 
 
-@query(f"""SELECT point_id, loaded_at FROM points WHERE {_ALT} AND altitud BETWEEN 500 AND 1500 AND contains({_NOACC.format('vertiente')}, 'cari')
+@query(f"""SELECT point_id, altitud FROM points WHERE {_ALT} AND altitud BETWEEN 500 AND 1500 AND contains({_NOACC.format('vertiente')}, 'cari')
 AND nombre IS NOT NULL AND (contains({_NOACC.format('nombre')}, 'cordillera') OR contains('cordillera', {_NOACC.format('nombre')}))""")
 def filter_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points in a band, on a slope, in a region whose name holds the wanted one or is held by it; null names never match."""
     name = es.without_accents(F.lower("nombre"))
     keep = _usable() & F.col("altitud").between(500, 1500) & F.contains(es.without_accents(F.lower("vertiente")), F.lit("cari"))
-    return table(spark, sf_dir, "points").where(keep & (F.contains(name, F.lit("cordillera")) | F.contains(F.lit("cordillera"), name))).select("point_id", "loaded_at")
+    return table(spark, sf_dir, "points").where(keep & (F.contains(name, F.lit("cordillera")) | F.contains(F.lit("cordillera"), name))).select("point_id", "altitud")
 
 
 @query("""SELECT raw_id, species FROM raw_fichas WHERE distribution_paragraph IS NOT NULL AND NOT contains(species, ' sp. ')
