@@ -2,8 +2,8 @@
 
 1. Every name of a record (accepted or synonym) is taken apart into genus, epithet and author surnames; equal name
    strings are worked on once.
-2. Candidates share a band of MinHash values: of the genus' letter pairs and the epithet's letter triples, or, in fewer
-   rows, of both together with an author. Epithets differ so much in triples that few of one genus meet by chance.
+2. Candidates share a band of MinHash values: of the letter triples of genus and epithet, or, in fewer rows, of both
+   together with an author. Few names differ little in both, so that few unrelated ones meet by chance.
 3. Name pairs get features (edits in genus and epithet, agreement of authors), record pairs the best of their name
    pairs, how many agree, and the families.
 4. A logistic classifier is trained on weak labels, some of them with the author hidden, and calibrated on held-out ones.
@@ -26,10 +26,10 @@ from frondara.llm.gazetteer import distance
 from frondara.llm.lookalikes import unify
 from frondara.session import cut
 
-#: Bands over names, rows of the epithet's MinHash in one; bands with an author, which have one row of the epithet's.
-BANDS, ROWS, AUTHOR_BANDS = 36, 2, 24
-#: Letters in a row that count as one feature: of a genus, which tells little, and of an epithet, which tells most.
-GENUS_GRAM, EPITHET_GRAM = 2, 3
+#: Bands over names, rows of the genus' and of the epithet's MinHash in one; bands with an author, of one row each.
+BANDS, GENUS_ROWS, ROWS, AUTHOR_BANDS = 40, 2, 2, 24
+#: Letters in a row that count as one feature.
+GRAM = 3
 #: Letters of an epithet's end that don't count for blocking, since endings are shared by very many names.
 ENDING = 4
 #: Most edits of a name pair.
@@ -41,7 +41,7 @@ SURNAME = 4
 _JOINING = frozenset("y et and ex in e f filius fil".split())
 _PRIME = (1 << 61) - 1
 _rng = np.random.default_rng(20_240_611)
-_N = BANDS * (1 + ROWS)
+_N = BANDS * (GENUS_ROWS + ROWS)
 _A = _rng.integers(1, 1 << 31, _N).astype(np.uint64)
 _B = _rng.integers(0, 1 << 31, _N).astype(np.uint64)
 
@@ -108,9 +108,10 @@ def block_keys(genus: str, epithet: str, author: str) -> list[int]:
     if not genus or not epithet:
         return []
     stem = epithet[:-ENDING] if len(epithet) > ENDING + 3 else epithet
-    g = _minhash(_grams(genus, GENUS_GRAM), slice(0, BANDS))
-    e = _minhash(_grams(stem, EPITHET_GRAM), slice(BANDS, _N)).reshape(BANDS, ROWS)
-    mixed = np.concatenate([np.arange(BANDS, dtype=np.uint64)[:, None], g[:, None], e], axis=1)
+    edge = BANDS * GENUS_ROWS
+    g = _minhash(_grams(genus, GRAM), slice(0, edge)).reshape(BANDS, GENUS_ROWS)
+    e = _minhash(_grams(stem, GRAM), slice(edge, _N)).reshape(BANDS, ROWS)
+    mixed = np.concatenate([np.arange(BANDS, dtype=np.uint64)[:, None], g, e], axis=1)
     keys = np.zeros(BANDS, np.uint64)
     for col in mixed.T:
         keys = (keys ^ col) * np.uint64(0x9E3779B97F4A7C15)
@@ -118,7 +119,7 @@ def block_keys(genus: str, epithet: str, author: str) -> list[int]:
     out = keys.view(np.int64).tolist()
     for name in {s[:SURNAME] for part in surnames(author) for s in part if len(s) >= SURNAME}:
         for k in range(AUTHOR_BANDS):
-            out.append(zlib.crc32(f"{name}|{k}|{g[k]}|{e[k, 0]}".encode()) - (1 << 40))
+            out.append(zlib.crc32(f"{name}|{k}|{g[k, 0]}|{e[k, 0]}".encode()) - (1 << 40))
     return out
 
 
