@@ -32,8 +32,8 @@ BANDS, GENUS_ROWS, ROWS, AUTHOR_BANDS = 40, 2, 2, 24
 GRAM = 3
 #: Letters of an epithet's end that don't count for blocking, since endings are shared by very many names.
 ENDING = 4
-#: Most edits of a name pair.
-MOST_EDITS = 3
+#: Most edits of a name pair, and most if exchanged neighbours count two, which the JVM can tell before Python does.
+MOST_EDITS, MOST_PLAIN_EDITS = 3, 4
 #: Labelled pairs used for training at most, taken in the order of a hash; the bound of the training set.
 TRAIN_ROWS = 20_000
 #: Letters of a surname that must agree; abbreviations keep at least these.
@@ -249,6 +249,8 @@ def match_names(left: DataFrame, right: DataFrame, left_cols: dict[str, str], ri
     met = keys[0].join(keys[1], "key").select("lform", "rform").distinct()
     part = [f.select(F.col("form").alias(n + "form"), *[F.col(c).alias(n + c) for c in ("genus", "epithet", "author")]) for f, n in ((lf, "l"), (rf, "r"))]
     pairs = met.join(part[0], "lform").join(part[1], "rform")
+    plain = [F.levenshtein("l" + c, "r" + c, MOST_PLAIN_EDITS) for c in ("genus", "epithet")]
+    pairs = pairs.where((plain[0] >= 0) & (plain[1] >= 0) & (plain[0] + plain[1] <= MOST_PLAIN_EDITS))
     pairs = pairs.withColumn("c", _compared("lgenus", "lepithet", "lauthor", "rgenus", "repithet", "rauthor")).where(F.col("c.d_genus") + F.col("c.d_epithet") <= MOST_EDITS)
     pairs = pairs.select("lform", "rform", "c.*")
     named = []
