@@ -39,11 +39,9 @@ TRAIN_ROWS = 20_000
 #: Letters of a surname that must agree; abbreviations keep at least these.
 SURNAME = 4
 _JOINING = frozenset("y et and ex in e f filius fil".split())
-_PRIME = (1 << 61) - 1
 _rng = np.random.default_rng(20_240_611)
 _N = BANDS * (GENUS_ROWS + ROWS)
-_A = _rng.integers(1, 1 << 31, _N).astype(np.uint64)
-_B = _rng.integers(0, 1 << 31, _N).astype(np.uint64)
+_SEEDS = _rng.integers(0, 1 << 63, _N).astype(np.uint64)
 
 
 def _plain(text: str) -> str:
@@ -100,7 +98,11 @@ def _grams(word: str, size: int) -> np.ndarray:
 
 
 def _minhash(grams: np.ndarray, which: slice) -> np.ndarray:
-    return ((grams[:, None] * _A[which] + _B[which]) % np.uint64(_PRIME)).min(axis=0)
+    """The least hash of the grams under each of the hash functions, which must mix well to be independent."""
+    x = (grams[:, None] ^ _SEEDS[which]) * np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0x94D049BB133111EB)
+    return (x ^ (x >> np.uint64(32))).min(axis=0)
 
 
 def block_keys(genus: str, epithet: str, author: str) -> list[int]:

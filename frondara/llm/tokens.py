@@ -65,7 +65,7 @@ class StrongestCut:
 
     def query(self, lo: int, hi: int) -> int:
         """The rightmost strongest place in [lo, hi]."""
-        k = (hi - lo + 1).bit_length() - 1
+        k = int(hi - lo + 1).bit_length() - 1
         a, b = int(self.best[k][lo]), int(self.best[k][hi - (1 << k) + 1])
         return b if self.strength[b] >= self.strength[a] else a
 
@@ -91,7 +91,7 @@ def cut_pieces(text: str, enc, limit: int = LIMIT, overlap: int = OVERLAP) -> li
 
     A piece ends at the strongest boundary of its last tokens (at least LEAST_FILL of the limit are filled where the
     text goes on), the rightmost of equal ones; if there is none, between two characters. The next piece starts
-    ``overlap`` tokens before the cut, further left if that is inside a character. Every piece encodes to at most
+    ``overlap`` of the whole text's tokens before the cut, further left if that is inside a character. Every piece encodes to at most
     ``limit`` tokens.
     """
     if not 0 <= overlap < limit // 2 or limit < 16:
