@@ -56,7 +56,8 @@ def parse_places(text: str | None) -> list[tuple[str | None, str, str, str | Non
         kind = next((k for k, p in _FEATURES if p.match(bare)), "localidad")
         for name in re.split(r"\s+y\s+", bare):
             if name.strip():
-                out.append((slope, kind, name.strip(), side, areas, clause))
+                own = next((k for k, p in _FEATURES if p.match(name)), kind)  # "Cords. X y Z": Z is one, too
+                out.append((slope, own, name.strip(), side, areas, clause))
     return out
 
 
