@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from frondara.operators.ordered import upsert
 
@@ -29,7 +30,7 @@ def documents(df: DataFrame) -> DataFrame:
     return df.select("vector_id", F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("document"))
 
 
-def from_documents(df: DataFrame, schema: str) -> DataFrame:
+def from_documents(df: DataFrame, schema: str | StructType) -> DataFrame:
     """The records of :func:`documents`; a text that doesn't fit the schema fails."""
     return df.select("vector_id", F.from_json("document", schema, {"mode": "FAILFAST"}).alias("r"))
 

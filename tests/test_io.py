@@ -29,7 +29,7 @@ def test_writers(spark, tmp_path):
     writers.merge_into(f.limit(3).withColumn("volume", F.lit("new")), str(tmp_path / "a"), str(tmp_path / "b"), "vector_id")
     out = spark.read.parquet(str(tmp_path / "b"))
     assert out.count() == f.count() and out.where("volume = 'new'").count() == 3
-    back = writers.from_documents(writers.documents(f), f.schema.simpleString()[7:-1])
+    back = writers.from_documents(writers.documents(f), f.schema)
     assert back.select("r.species").exceptAll(f.select("species")).count() == 0
     assert writers.index_records(f).where("elev_min_eff is null").count() == 0
     writers.csv_report(f, str(tmp_path / "c"))
