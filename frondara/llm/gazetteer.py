@@ -154,10 +154,9 @@ class Reference:
         trees = [self.trees[k] for k in levels if k in self.trees]
         forms = self.forms(value)
         found: dict[int, int] = {}
-        for exact in (True, False):
+        for most in (0, 1, 2):
             for form in forms:
-                most = 0 if exact else next(t for n, t in THRESHOLDS if len(form) >= n)
-                if exact or most:
+                if most <= next(t for n, t in THRESHOLDS if len(form) >= n):
                     for tree in trees:
                         for d, f in tree.within(form, most):
                             for gid in tree.entries[f]:
@@ -166,7 +165,7 @@ class Reference:
                 break
         if not found:
             return -1, -1
-        # A form that is a name as it stands needs no search; otherwise one search gives every entry within the threshold.
+        # The narrow search comes first: most typed values have one slip, and a wider radius visits far more of the tree.
         least = min(found.values())
         best = [g for g, d in found.items() if d == least]
         if len(best) > 1:
