@@ -1,11 +1,11 @@
 """Held-out passages inside a corpus, whole or in part, altered here and there: spaced-seed hashing and verification.
 
-Texts become sequences of folded words. Each mask of MASKS looks at some of SPAN neighbouring words and ignores the
+Texts become sequences of folded words. Each mask of MASKS looks at some of as many neighbouring words and ignores the
 others; a passage's hashes at every place are kept in one sorted table, and every place of every document is looked up
-in it. A run of LEAST_WORDS words with at most one in ten altered, added or missing keeps SPAN unaltered words in a
-row somewhere (23 words in three stretches: one has 8), so every mask hits it there; hits are then extended to both
-sides with differences allowed, and kept if they cover such a run. A hit whose ignored words differ lies in a run that
-has another hit without, so only the latter are extended.
+in it. A run of LEAST_WORDS words or more with at most one in ten altered, added or missing keeps 7 unaltered words in a
+row somewhere (at 30 words, 3 of them missing: 27 in four stretches), so the first mask hits it there, besides wherever
+only the ignored word is altered; a passage under LEAST_WORDS keeps 5, which the second mask looks at. All hits are
+extended to both sides with differences allowed, and kept if they cover such a run.
 """
 
 from __future__ import annotations
@@ -25,12 +25,15 @@ from frondara.llm.lookalikes import decompositions, unify
 
 #: Words in a row that make a case, words per allowed difference, and most differences of a shortest case.
 LEAST_WORDS, PER_DIFFERENCE, MOST_DIFFERENCES = 25, 10, 4
-#: Words under a mask, and which of them it looks at. A hit of any mask is extended.
-SPAN, MASKS = 8, ("11101011", "11010111")
+#: Which words under a mask it looks at, the first always, and the passages it serves: all, or those under LEAST_WORDS.
+#: A hit of any mask is extended.
+MASKS = (("1110111", False), ("11111", True))
 #: Passages that go to the tasks at a time; more of them are searched block by block.
 BLOCK_ITEMS = 20_000
 #: Documents worked on together.
 SLICE = 256
+#: Hits looked over together; speed only.
+POSSIBLE_SLICE = 2048
 _BROKEN = regex.compile(r"(?<=\w)[-‐¬­]\s+(?=\w)")
 _TABLE = 0x2500
 _RARE = regex.compile(f"[^\\u0000-\\u{_TABLE - 1:04x}]")
@@ -103,7 +106,7 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 def seed_hashes(words: np.ndarray, mask: str) -> np.ndarray:
     """One hash for each place at which the mask fits."""
-    n = len(words) - SPAN + 1
+    n = len(words) - len(mask) + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
     out = np.zeros(n, np.uint64)
@@ -125,10 +128,15 @@ class Passages:
         self.words, self.first = word_hashes(texts)
         owner = np.repeat(np.arange(len(ids)), np.diff(self.first))
         self.tables = []
-        for mask in MASKS:
+        short = np.diff(self.first) < LEAST_WORDS
+        for mask, only_short in MASKS:
             h = seed_hashes(self.words, mask)
             at = np.arange(len(h))
-            whole = owner[at] == owner[at + SPAN - 1] if len(h) else np.zeros(0, bool)
+            whole = owner[at] == owner[at + len(mask) - 1] if len(h) else np.zeros(0, bool)
+            if only_short:
+                whole &= short[owner[at]]
+            if not whole.any():
+                continue
             h, at = h[whole], at[whole]
             order = np.argsort(h, kind="stable")
             bits = np.zeros(1 << self.BITS, bool)
@@ -136,9 +144,13 @@ class Passages:
             self.tables.append((mask, h[order], at[order], bits))
         self.owner = owner
 
-    def hits(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place in words, place in passages) of all seed hits of any mask."""
-        found = []
+    def hits(self, words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in words, place in passages) of a pair of equal words in each seed hit of any mask, once each.
+
+        The pair is that at a multiple of the mask's length, so that neighbouring hits share it and every run of so many
+        unaltered words holds one; where the mask ignores that word and it differs, it is the first pair.
+        """
+        size, found = max(1, len(self.words)), [np.zeros(0, np.int64)]
         for mask, table, at, bits in self.tables:
             h = seed_hashes(words, mask)
             maybe = np.flatnonzero(bits[(h >> np.uint64(64 - self.BITS)).astype(np.int64)])
@@ -146,43 +158,71 @@ class Passages:
             n = np.searchsorted(table, h[maybe], "right") - lo
             q = np.repeat(maybe, n)
             inner = np.arange(len(q)) - np.repeat(np.cumsum(n) - n, n)
-            found.append(np.stack([q, at[np.repeat(lo, n) + inner]]))
-        both = np.unique(np.concatenate(found, axis=1), axis=1)
-        return both[0], both[1]
+            p = at[np.repeat(lo, n) + inner]
+            ok = q + len(mask) <= first[np.searchsorted(first, q, "right")]
+            for d, bit in enumerate(mask):
+                if bit == "1":
+                    ok &= words[q + d] == self.words[p + d]
+            q, p = q[ok], p[ok]
+            step = -q % len(mask)
+            step[words[q + step] != self.words[p + step]] = 0
+            found.append((q + step) * size + p + step)
+        return np.divmod(np.unique(np.concatenate(found)), size)
+
+
+def possible(words: np.ndarray, known: Passages, at: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Whether a shortest case can run through each pair of equal words; holds() decides.
+
+    A word of the passage counts as unaltered if the document has it at most MOST_DIFFERENCES places off the pair's
+    diagonal, as every unaltered word of a case is; LEAST_WORDS or more of them in a row around the pair must hold enough.
+    """
+    edge, off = 2 * LEAST_WORDS + MOST_DIFFERENCES, MOST_DIFFERENCES
+    x = np.concatenate([np.zeros(edge + off, np.uint64), words, np.zeros(edge + off, np.uint64)])
+    y = np.concatenate([np.ones(edge, np.uint64), known.words, np.ones(edge, np.uint64)])
+    ends = np.arange(edge + 1, 2 * edge + 1)
+    starts = np.minimum(edge, ends - LEAST_WORDS)
+    out = np.zeros(len(at), bool)
+    for a in range(0, len(at), POSSIBLE_SLICE):
+        q, p = at[a : a + POSSIBLE_SLICE], place[a : a + POSSIBLE_SLICE]
+        near = x[q[:, None] + np.arange(2 * (edge + off))]
+        item = y[p[:, None] + np.arange(2 * edge)]
+        same = np.zeros(item.shape, bool)
+        for k in range(2 * off + 1):
+            same |= item == near[:, k : k + 2 * edge]
+        gain = np.zeros((len(q), 2 * edge + 1), np.int32)
+        np.cumsum(np.where(same, 1, 1 - PER_DIFFERENCE), axis=1, out=gain[:, 1:])
+        least = np.minimum.accumulate(gain[:, : edge + 1], axis=1)
+        out[a : a + POSSIBLE_SLICE] = (gain[:, ends] >= least[:, starts]).any(axis=1)
+    return out | (np.diff(known.first)[known.owner[place]] < LEAST_WORDS)
 
 
 def _reach(x: np.ndarray, y: np.ndarray, differences: int) -> list[int]:
     """For each number of differences up to the given: most words of y's front that x's front can cover, the last of
-    them equal, so that a run never ends in differences."""
-    first = _same(x, y, 0, 0)
-    best, covered = {0: first}, first
-    out = [covered]
-    for _ in range(differences):
-        new: dict[int, int] = {}
-        for k, j in best.items():  # k: words of x ahead of y
-            for dk, dj in ((0, 1), (1, 0), (-1, 1)):  # altered, added, missing
-                nj, nk = j + dj, k + dk
-                if nj <= len(y) and 0 <= nj + nk <= len(x):
-                    equal = _same(x, y, nj + nk, nj)
-                    nj += equal
-                    if equal:
-                        covered = max(covered, nj)
-                    if nj > new.get(nk, -1):
-                        new[nk] = nj
-        best = {k: max(new.get(k, -1), best.get(k, -1)) for k in {*new, *best}}
+    them equal, so that a run never ends in differences.
+
+    Bit j of a diagonal k says that j words of y can be covered by j + k words of x.
+    """
+    equal: dict[int, int] = {}
+    for k in range(-differences, differences + 1):
+        j = max(0, -k)
+        n = min(len(y), len(x) - k) - j
+        same = np.packbits(x[j + k : j + k + n] == y[j : j + n], bitorder="little") if n > 0 else np.zeros(0, np.uint8)
+        equal[k] = int.from_bytes(same.tobytes(), "little") << j
+    reached, covered, out = {0: 1}, 0, []
+    for d in range(differences + 1):
+        if d:
+            at = reached.get
+            # Altered, added, missing.
+            reached = {k: at(k, 0) << 1 | at(k - 1, 0) | at(k + 1, 0) << 1 for k in range(-d, d + 1)}
+        for k, r in reached.items():
+            e = equal[k]
+            # The carry of the sum runs through equal words.
+            reached[k] = r = (((r & e) + e) ^ e) | r
+            covered = max(covered, ((r & e) << 1).bit_length() - 1)
         out.append(covered)
     return out
 
 
-def _same(x: np.ndarray, y: np.ndarray, i: int, j: int) -> int:
-    n = min(len(x) - i, len(y) - j)
-    if n <= 0:
-        return 0
-    ne = x[i : i + n] != y[j : j + n]
-    k = int(ne.argmax())
-    return k if ne[k] else n
-
-
 def holds(doc: np.ndarray, item: np.ndarray, i: int, j: int) -> bool:
     """Whether a case runs through the pair of equal words doc[i], item[j]."""
     span = 2 * LEAST_WORDS + MOST_DIFFERENCES
@@ -199,7 +239,8 @@ def holds(doc: np.ndarray, item: np.ndarray, i: int, j: int) -> bool:
 def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text_col: str = "text", item_id: str = "item_id", passage_col: str = "reference") -> DataFrame:
     """(doc_id, item_id) of every document that holds an item's passage or LEAST_WORDS of its words in a row.
 
-    Passages shorter than SPAN words can't be found and give no rows; shorter than LEAST_WORDS they must occur whole.
+    Passages shorter than five words can't be found and give no rows; shorter than LEAST_WORDS they must occur whole, with
+    no more differences than one in ten. A run begins and ends with equal words.
     Null and empty texts give no rows; repeated rows give repeated rows. The corpus is read once for each BLOCK_ITEMS
     items and never shuffled.
     """
@@ -234,28 +275,14 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text_col: s
 def find_in(known: Passages, texts: list[str | None]) -> list[tuple[int, int]]:
     """(text, passage) numbers of all cases in a few texts."""
     words, first = word_hashes(texts)
-    at, place = known.hits(words)
-    if not len(at):
-        return []
-    owner = np.searchsorted(first, at, "right") - 1
-    item = known.owner[place]
-    ok = at + SPAN <= first[owner + 1]
-    at, place, owner, item = at[ok], place[ok], owner[ok], item[ok]
-    equal = np.ones(len(at), bool)
-    for d in range(SPAN):
-        equal &= words[at + d] == known.words[place + d]
-    keep = np.flatnonzero(equal)
+    at, place = known.hits(words, first)
+    maybe = possible(words, known, at, place)
+    at, place = at[maybe], place[maybe]
     out: set[tuple[int, int]] = set()
-    tried: set[tuple[int, int, int]] = set()
-    for h in keep:
-        d, k = int(owner[h]), int(item[h])
+    for i, j in zip(at.tolist(), place.tolist()):
+        d, k = int(np.searchsorted(first, i, "right")) - 1, int(known.owner[j])
         if (d, k) in out:
             continue
-        i, j = int(at[h] - first[d]), int(place[h] - known.first[k])
-        stretch = (d * len(known.ids) + k, i - j, i // (SPAN // 2))
-        if stretch in tried:
-            continue
-        tried.add(stretch)
-        if holds(words[first[d] : first[d + 1]], known.words[known.first[k] : known.first[k + 1]], i, j):
+        if holds(words[first[d] : first[d + 1]], known.words[known.first[k] : known.first[k + 1]], i - int(first[d]), j - int(known.first[k])):
             out.add((d, k))
     return sorted(out)

@@ -115,6 +115,58 @@ def test_leaks(spark):
     assert leaks.leaks(d, items.where("false")).count() == 0
 
 
+def holds_case(doc, passage):
+    """The rule by brute force: a run of the passage between two equal words, by edit distance from every equal pair."""
+    least = min(leaks.LEAST_WORDS, len(passage))
+    for i0, j0 in ((i, j) for j in range(len(passage)) for i in range(len(doc)) if doc[i] == passage[j]):
+        x, y = doc[i0 + 1 :], passage[j0 + 1 :]
+        row = list(range(len(x) + 1))
+        for j, w in enumerate(y, 1):
+            up, row = row, [j]
+            for i, v in enumerate(x, 1):
+                row.append(min(up[i - 1] + (v != w), up[i] + 1, row[i - 1] + 1))
+                if v == w and j + 1 >= least and up[i - 1] <= (j + 1) // leaks.PER_DIFFERENCE:
+                    return True
+    return False
+
+
+def edited(words, ops):
+    """words with an altered, added or missing word at each place of ops."""
+    out = []
+    for i, w in enumerate(words):
+        op = ops.get(i)
+        out += [w] if op is None else ["neu" + w] if op == "altered" else ["neu" + w, w] if op == "added" else []
+    return out
+
+
+def test_leaks_between_differences():
+    rng, kinds = random.Random(11), ("altered", "added", "missing")
+    words = [f"w{i}" for i in range(60)]
+    known = leaks.Passages([1], [" ".join(words)])
+    lost, cases = [], 0
+    for n in (30, 31):
+        places = [(7, 15, 23)] + [tuple(sorted(rng.sample(range(1, n - 1), 3))) for _ in range(4)]
+        for at in places:
+            for ops in [(a, b, c) for a in kinds for b in kinds for c in kinds]:
+                doc = ["x", "y"] + edited(words[20 : 20 + n], dict(zip(at, ops))) + ["z"]
+                want = holds_case(doc, words)
+                cases += want
+                if (leaks.find_in(known, [" ".join(doc)]) == [(0, 0)]) != want:
+                    lost.append((n, at, ops, want))
+    assert not lost and cases > 100
+
+
+def test_leaks_of_short_passages():
+    rng = random.Random(12)
+    for n in range(5, 25):
+        words = [f"w{i}" for i in range(n)]
+        known = leaks.Passages([1], [" ".join(words)])
+        for _ in range(20):
+            at = rng.sample(range(1, n - 1), min(n - 2, n // 10 + rng.randint(0, 1)))
+            doc = ["x"] + edited(words, {i: rng.choice(("altered", "added", "missing")) for i in at}) + ["z"]
+            assert (leaks.find_in(known, [" ".join(doc)]) == [(0, 0)]) == holds_case(doc, words), (n, at)
+
+
 def test_word_hashes_fold():
     a, _ = leaks.word_hashes(["Árbol—VERDE, ñandú 12", None, ""])
     b, first = leaks.word_hashes(["arbol verde nandu 12"])
