@@ -23,8 +23,14 @@ from pyspark.sql import types as T
 
 from frondara.llm.lookalikes import decompositions, unify
 
-#: Words in a row that make a case, words per allowed difference, and most differences of a shortest case.
-LEAST_WORDS, PER_DIFFERENCE, MOST_DIFFERENCES = 25, 10, 4
+#: Words in a row that make a case, and words per allowed difference.
+LEAST_WORDS, PER_DIFFERENCE = 25, 10
+#: Most differences of a case that holds no shorter one. Call the words of a run less ten for each difference its balance,
+#: at least 0 in a case. Split such a case at any group of differences: a side of 25 words or more has a balance below 0,
+#: or it would be a case; not both sides have one, so one is under 25 words with a balance of at least 0. Take the last
+#: group whose front is so: its back is so too (else the front of the next group, or the back of this one, would make the
+#: whole balance negative). Two balances of at most 24, less ten for each difference inside, pay 9 for each of the group.
+MOST_DIFFERENCES = 2 * (LEAST_WORDS - 1) // (PER_DIFFERENCE - 1)
 #: Which words under a mask it looks at, the first always, and the passages it serves: all, or those under LEAST_WORDS.
 #: A hit of any mask is extended.
 MASKS = (("1110111", False), ("11111", True))
@@ -225,7 +231,8 @@ def _reach(x: np.ndarray, y: np.ndarray, differences: int) -> list[int]:
 
 def holds(doc: np.ndarray, item: np.ndarray, i: int, j: int) -> bool:
     """Whether a case runs through the pair of equal words doc[i], item[j]."""
-    span = 2 * LEAST_WORDS + MOST_DIFFERENCES
+    # Of the passage, two sides and the altered or missing words between them; of the document, as many more as were added.
+    span = 2 * LEAST_WORDS + 2 * MOST_DIFFERENCES
     right = _reach(doc[i : i + span], item[j : j + span - MOST_DIFFERENCES], MOST_DIFFERENCES)
     left = _reach(doc[max(0, i - span) : i][::-1], item[max(0, j - span) : j][::-1], MOST_DIFFERENCES)
     least = min(LEAST_WORDS, len(item))

@@ -156,6 +156,25 @@ def test_leaks_between_differences():
     assert not lost and cases > 100
 
 
+def test_leaks_of_clustered_differences():
+    rng, kinds = random.Random(13), ("altered", "added", "missing")
+    words = [f"w{i}" for i in range(80)]
+    known = leaks.Passages([1], [" ".join(words)])
+    lost, cases = [], 0
+    tried = [(24, 5, 24, ("altered",)), (24, 5, 24, ("missing",)), (24, 4, 24, ("added",))]
+    tried += [(rng.randint(18, 24), rng.randint(3, 6), rng.randint(18, 24), kinds) for _ in range(60)]
+    for a, group, b, which in tried:
+        ops = {a + i: rng.choice(which) for i in range(group)}
+        if rng.random() < 0.3 and which is kinds:
+            ops[rng.randint(3, a - 3)] = rng.choice(kinds)
+        doc = ["x"] * 30 + edited(words[9 : 9 + a + group + b], ops) + ["z"] * 30
+        want = holds_case(doc, words)
+        cases += want
+        if (leaks.find_in(known, [" ".join(doc)]) == [(0, 0)]) != want:
+            lost.append((a, ops, b, want))
+    assert not lost and cases > 10
+
+
 def test_leaks_of_short_passages():
     rng = random.Random(12)
     for n in range(5, 25):
