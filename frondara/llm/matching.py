@@ -33,7 +33,8 @@ GRAM = 3
 #: Letters of an epithet's end that don't count for blocking, since endings are shared by very many names.
 ENDING = 4
 #: Most edits of a name pair, and most if exchanged neighbours count two, which the JVM can tell before Python does.
-MOST_EDITS, MOST_PLAIN_EDITS = 3, 4
+MOST_EDITS = 3
+MOST_PLAIN_EDITS = 2 * MOST_EDITS
 #: Labelled pairs used for training at most, taken in the order of a hash; the bound of the training set.
 TRAIN_ROWS = 20_000
 #: Letters of a surname that must agree; abbreviations keep at least these.

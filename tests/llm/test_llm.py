@@ -252,3 +252,13 @@ def test_matching(spark):
     assert found == {(i, i) for i in range(150)} | {(0, 2000)}
     empty = matching.match_names(spark.createDataFrame(left, cols).where("false"), spark.createDataFrame(right, cols), c, c)
     assert empty.count() == 0
+
+
+def test_matching_keeps_exchanged_letters(spark):
+    # Three exchanges are 3 edits for the operator and 6 plain ones; two and a change are 3 and 5.
+    cols = "id long, name string, auth string, syn array<string>, fam string"
+    names = [("Bacodufige marotilupensis", "abcodufige amrotilupenssi"), ("Bacodufige marotilupensis", "Bacodufige amrotilupnesiz")]
+    c = {"rec": "id", "name": "name", "authority": "auth", "synonyms": "syn", "family": "fam"}
+    sides = [spark.createDataFrame([(i, pair[k], "Zorelin", [], "Mirvaceae") for i, pair in enumerate(names)], cols) for k in (0, 1)]
+    got = {(r.left, r.right): r.d_genus + r.d_epithet for r in matching.match_names(*sides, c, c).collect()}
+    assert got[0, 0] == 3 and got[1, 1] == 3
