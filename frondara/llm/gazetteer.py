@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 import unicodedata as u
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -101,21 +101,36 @@ class Tree:
         return out
 
 
+def _names(name: str, aliases: str | None) -> list[str]:
+    return [x for x in [name, *(aliases or "").split("|")] if x and x.strip()]
+
+
+def _words(name: str) -> list[str]:
+    return [fold(w) for w in _SPLIT.split(name) if fold(w)]
+
+
+def _by_length(prefixes: set[str]) -> list[str]:
+    return sorted((p for p in prefixes if len(p) > 2), key=lambda p: (-len(p), p))
+
+
 class Reference:
-    """Trees of a reference list, one a level; kinds: the words that stand before names."""
+    """Trees of a reference list, one a level; kinds: the words that stand before names.
 
-    def __init__(self, rows: Sequence[tuple[int, str, str | None, str | None]]):
+    before: the kinds and prefixes of the whole list, where the rows are only a part of it.
+    """
+
+    def __init__(self, rows: Sequence[tuple[int, str, str | None, str | None]], before: tuple[set[str], set[str]] | None = None):
         self.trees: dict[str | None, Tree] = {}
         self.full: dict[int, list[str]] = {}
         self.kinds: set[str] = set()
         prefixes: set[str] = set()
         self.memory: dict[tuple[str, tuple], tuple[int, int]] = {}
         for gid, name, level, aliases in rows:
-            names = [x for x in [name, *(aliases or "").split("|")] if x and x.strip()]
+            names = _names(name, aliases)
             self.full[gid] = [fold(x) for x in names]
             tree = self.trees.setdefault(level, Tree())
             for x in names:
-                words = [fold(w) for w in _SPLIT.split(x) if fold(w)]
+                words = _words(x)
                 if not words:
                     continue
                 self.kinds.update(words[:-1])
@@ -125,7 +140,9 @@ class Reference:
                 tree.add(words[-1], gid)
         # A word that is itself a name stays one.
         self.kinds -= {f for t in self.trees.values() for f in t.entries}
-        self.prefixes = sorted((p for p in prefixes if len(p) > 2), key=len, reverse=True)
+        if before is not None:
+            self.kinds, prefixes = before
+        self.prefixes = _by_length(prefixes)
 
     def forms(self, value: str) -> list[str]:
         """The forms under which a value is looked up."""
@@ -174,6 +191,26 @@ class Reference:
         return best[0], least
 
 
+def _before_names(ref: DataFrame) -> tuple[set[str], set[str]]:
+    """(kinds, prefixes) of the whole list, as Reference finds them; only words before names come to the driver."""
+
+    def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out: set[tuple[str, str]] = set()
+            for name, aliases in zip(b["canonical_name"], b["aliases"]):
+                for words in filter(None, map(_words, _names(name, aliases))):
+                    out.update(("kind", w) for w in words[:-1])
+                    out.update({("form", "".join(words)), ("form", words[-1])})
+                    if len(words) > 1:
+                        out.add(("prefix", "".join(words[:-1])))
+            yield pd.DataFrame(sorted(out), columns=["what", "word"])
+
+    found = ref.select("canonical_name", "aliases").mapInPandas(parts, "what string, word string").distinct()
+    of = lambda what: found.where(F.col("what") == what).select("word")
+    kinds = of("kind").join(of("form"), "word", "left_anti").collect()
+    return {r.word for r in kinds}, {r.word for r in of("prefix").collect()}
+
+
 def map_values(values: DataFrame, reference: DataFrame, shard_entries: int = SHARD_ENTRIES) -> DataFrame:
     """``values`` with ``gaz_id`` and ``distance``: the closest entry, or -1 and -1 where none is meant.
 
@@ -202,16 +239,19 @@ def map_values(values: DataFrame, reference: DataFrame, shard_entries: int = SHA
         return values.withColumn("_m", look("value", "levels")).select(*cols, "_m.gaz_id", "_m.distance")
 
     shards = -(-ref.count() // shard_entries)
+    before = values.sparkSession.sparkContext.broadcast(_before_names(ref))
     distinct = values.select("value", "levels").where(F.col("value").isNotNull()).distinct()
     asked = distinct.withColumn("_shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("_part", F.pmod(F.xxhash64("value"), F.lit(64)).cast("int"))
     entries = ref.withColumn("_shard", F.pmod(F.xxhash64("gaz_id"), F.lit(shards)).cast("int")).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(63))))
 
     def join(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        known = Reference(list(b[["gaz_id", "canonical_name", "hierarchy_level", "aliases"]].itertuples(index=False, name=None)))
-        return pd.concat([a[["value", "levels"]].reset_index(drop=True), match_all(known, a["value"], a["levels"])], axis=1)
+        known = Reference(list(b[["gaz_id", "canonical_name", "hierarchy_level", "aliases"]].itertuples(index=False, name=None)), before.value)
+        got = match_all(known, a["value"], a["levels"])
+        got["full"] = pd.array([min(distance(fold(v), f) for f in known.full[g]) if g >= 0 else -1 for v, g in zip(a["value"], got["gaz_id"])], "Int32")
+        return pd.concat([a[["value", "levels"]].reset_index(drop=True), got], axis=1)
 
-    won = asked.groupBy("_shard", "_part").cogroup(entries.groupBy("_shard", "_part")).applyInPandas(join, "value string, levels array<string>, gaz_id bigint, distance int")
-    won = won.groupBy("value", "levels").agg(F.min(F.when(F.col("gaz_id") >= 0, F.struct("distance", "gaz_id"))).alias("_w"))
+    won = asked.groupBy("_shard", "_part").cogroup(entries.groupBy("_shard", "_part")).applyInPandas(join, "value string, levels array<string>, gaz_id bigint, distance int, full int")
+    won = won.groupBy("value", "levels").agg(F.min(F.when(F.col("gaz_id") >= 0, F.struct("distance", "full", "gaz_id"))).alias("_w"))
     won = won.select(F.col("value").alias("_value"), F.col("levels").alias("_levels"), "_w")
     same = F.col("value").eqNullSafe(F.col("_value")) & F.col("levels").eqNullSafe(F.col("_levels"))
     hit = [F.when(F.col("value").isNotNull(), F.coalesce(F.col(f"_w.{c}"), F.lit(-1))).alias(c) for c in ("gaz_id", "distance")]

@@ -216,6 +216,16 @@ def test_map_values_whole_and_sharded(spark):
     assert gazetteer.map_values(v.where("false"), ref).count() == 0
 
 
+def test_map_values_shards_make_no_difference(spark):
+    # Ties between shards, and prefixes that only other shards' entries have.
+    rows = [(i, f"{kind} {name}", "fila", None) for i, (kind, name) in enumerate((k, n) for n in ("Muvazar", "Zorelir", "Tacobem") for k in ("Fila", "Cerro", "Alto Cerro", "Monte"))]
+    ref = spark.createDataFrame([*rows, (90, "Ribacolu", "fila", None)], "gaz_id long, canonical_name string, hierarchy_level string, aliases string")
+    typed = ["Monte Muvazar", "Monte Muvazr", "Alto Cerro Zorelir", "Cerro Tacobm", "filaribacolu", "montezorelir", "altocerroribacol"]
+    v = spark.createDataFrame([(i, t, ["fila"]) for i, t in enumerate(typed)], "id int, value string, levels array<string>")
+    whole, parts = ([(r.gaz_id, r.distance) for r in gazetteer.map_values(v, ref, shard_entries=n).orderBy("id").collect()] for n in (99, 3))
+    assert parts == whole and whole[0] == (3, 0)
+
+
 def test_scans(spark):
     habitats = ["Bosque húmedo, suelos volcánicos, centro-oriental, sub- y suprapáramo, 100–900 m", "Bosque seco, laderas empinadas, troncos caídos, 50–450 m"] * 60
     rows = [("h", i, t) for i, t in enumerate(habitats)]
