@@ -75,21 +75,32 @@ def _power(size: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers(1 << max(20, (size - 1).bit_length()))
 
 
+def _beyond(m: regex.Match) -> str:
+    """A character beyond the table: letters and digits are kept, marks left out, others stand between words."""
+    c = m[0]
+    base, kind = u.normalize("NFD", c)[0], u.category(c)
+    if ord(base) < _TABLE:
+        return base
+    return c.lower()[0] if kind[0] in "LN" else "" if kind in ("Mn", "Cf") else " "
+
+
 def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """(hash of every word, first word of each text and the total): letter case, accents, punctuation, spacing and
-    words broken at line ends make no difference; null is a text without words."""
+    words broken at line ends make no difference; null is a text without words. In scripts without spaces a word is what
+    stands between punctuation."""
     plain = []
     for t in texts:
         t = t or ""
         if not t.isascii() and _RARE.search(t):
             t = unify(t)
-            t = _RARE.sub(lambda m: u.normalize("NFD", m[0])[0], t)
-            t = _RARE.sub(" ", t)
+            t = _RARE.sub(_beyond, t)
         if "-" in t or not t.isascii():
             t = _BROKEN.sub("", t)
         plain.append(t)
     whole = "\n".join(plain) + "\n"
-    code = _folding()[np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), "<u4")]
+    point = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), "<u4")
+    beyond = point >= _TABLE
+    code = np.where(beyond, point, _folding()[np.where(beyond, 0, point)]) if beyond.any() else _folding()[point]
     ends = np.cumsum([len(t) + 1 for t in plain]) if plain else np.zeros(0, int)
     left = code != 1
     if not left.all():

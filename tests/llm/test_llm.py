@@ -192,6 +192,15 @@ def test_word_hashes_fold():
     assert a.tolist() == b.tolist() and first.tolist() == [0, 4]
 
 
+def test_word_hashes_keep_all_scripts():
+    h, first = leaks.word_hashes(["森林、海拔 숲은 깊다。", "森林 海抜 숲은 깊고", "─ 😀"])
+    assert first.tolist() == [0, 4, 8, 8]
+    assert (h[:4] == h[4:]).tolist() == [True, False, True, False]
+    known = leaks.Passages([1], [" ".join(chr(0x4E00 + 7 * i) + chr(0xAC00 + i) for i in range(30))])
+    text = " ".join(chr(0x4E00 + 7 * i) + chr(0xAC00 + i) for i in range(2, 29))
+    assert leaks.find_in(known, [text, text[:20]]) == [(0, 0)]
+
+
 def test_tree_is_complete():
     rng = random.Random(1)
     forms = ["".join(rng.choice("abcd") for _ in range(rng.randint(3, 8))) for _ in range(300)]
