@@ -12,8 +12,8 @@ from pyspark.sql.window import Window
 # Letters of other scripts and styles, and the Latin letters they look like.
 CYRILLIC = "АВЕЅІЈКМНОРСТУХҮԌаеѕіјорсухһԁԛԝґӏ"
 CYRILLIC_AS = "ABESIJKMHOPCTYXYGaesijopcyxhdqwrl"
-GREEK = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϜονικρυχγϲϳ"
-GREEK_AS = "ABEZHIKMNOPTYXFovikpuxycj"
+GREEK = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϜονικρυχγϲϳα"
+GREEK_AS = "ABEZHIKMNOPTYXFovikpuxycja"
 PHONETIC = "ɑɡıɩʏʀɴʜʟᴀʙᴄᴅᴇɢᴊᴋᴍᴏᴘᴛᴜᴠᴡᴢꜱȷɪ"
 PHONETIC_AS = "agiiyrnhlabcdegjkmoptuvwzsji"
 ARMENIAN = "օսոհցզԼՏՕ"
@@ -68,6 +68,19 @@ def decompositions() -> dict[str, str]:
     return out
 
 
+@lru_cache(maxsize=1)
+def apart() -> dict[str, str]:
+    """Letter and the spacing accent written after it -> the mark, where both compose."""
+    made, same = decompositions(), lookalikes()
+    accents = {c: d[1] for n in range(0x80, 0x10000) if not 0xD800 <= n <= 0xDFFF and len(d := u.normalize("NFKD", c := chr(n))) == 2 and d[0] == " " and u.combining(d[1])}
+    letters = [c for n in range(0x41, 0x250) if (c := chr(n)).isalpha() and c not in USUAL] + [c for c in same if c.isalpha()]
+    out: dict[str, str] = {}
+    for c in letters:
+        base = u.normalize("NFC", made.get(c, c))
+        out |= {c + a: m for a, m in accents.items() if a not in made and len(u.normalize("NFC", base + m)) == len(base)}
+    return out
+
+
 @lru_cache(maxsize=1)
 def compositions() -> dict[str, str]:
     """Base with its marks in canonical order -> the composed character."""
@@ -90,10 +103,12 @@ def unify(text: str) -> str:
     """The same form for one string in Python, for stages that follow on it; compared with the operator in the tests."""
     if text.isascii():
         return text
-    made = decompositions()
+    made, accents = decompositions(), apart()
     out = []
     for i, c in enumerate(text):
-        if c in made and not _lone_greek(c, text[i - 1] if i else " ", text[i + 1] if i + 1 < len(text) else " "):
+        if i and text[i - 1 : i + 1] in accents:
+            out.append(accents[text[i - 1 : i + 1]])
+        elif c in made and not _lone_greek(c, text[i - 1] if i else " ", text[i + 1] if i + 1 < len(text) else " "):
             out.append(made[c])
         else:
             out.append(c)
@@ -116,7 +131,7 @@ def unified(df: DataFrame, text_col: str, out_col: str = "unified") -> DataFrame
     Every distinct text with a character outside ASCII is exploded to positioned code points, which are joined with the
     decomposition and look-alike mapping; combining marks are put in the order of their classes, bases and marks
     composed again, and the text rebuilt. ASCII texts are their own form, null stays null, the empty text stays empty.
-    A lowercase Greek letter that stands alone is kept. Repeated texts are worked on once. All other columns are kept,
+    A spacing accent after a letter with which it composes is its mark. A lowercase Greek letter that stands alone is kept. Repeated texts are worked on once. All other columns are kept,
     whatever their names.
     """
     spark = df.sparkSession
@@ -131,6 +146,9 @@ def unified(df: DataFrame, text_col: str, out_col: str = "unified") -> DataFrame
     alone = ~F.coalesce(F.col("_before").rlike(letter), F.lit(False)) & ~F.coalesce(F.col("_after").rlike(letter), F.lit(False))
     lone_greek = F.col("_ch").rlike("^[α-ω]$") & ~F.col("_ch").isin(list(LONE_LATIN)) & alone
     points = points.join(F.broadcast(to), "_ch", "left").withColumn("_to", F.when(lone_greek | F.col("_to").isNull(), F.col("_ch")).otherwise(F.col("_to")))
+    accents = {pair[1]: mark for pair, mark in apart().items()}
+    separate = F.concat("_before", "_ch").isin(list(apart()))
+    points = points.withColumn("_to", F.when(separate, F.translate("_ch", "".join(accents), "".join(accents.values()))).otherwise(F.col("_to")))
     # An accented letter that is usual is taken apart here and composed again below, like any other.
     parts = points.select("_h1", "_h2", "_pos", F.posexplode(F.split("_to", "")).alias("_sub", "_c")).where(F.col("_c") != "")
     parts = parts.join(F.broadcast(marks), "_c", "left").withColumn("_ccc", F.coalesce("_ccc", F.lit(0)))

@@ -48,6 +48,13 @@ def test_lookalikes_equal_plain_form(spark):
     assert lookalikes.unified(df.where("false"), "text").count() == 0
 
 
+def test_lookalikes_separate_accents_and_alpha(spark):
+    want = {"Macegu´r": "Macegúr", "Ag¨ero, n˜andu": "Ag¨ero, ñandu", "pingu¨ino": "pingüino", "dos ´ tres": "dos ´ tres", "mαpa": "mapa", "facies α": "facies α"}
+    df = spark.createDataFrame([(t,) for t in want], "text string")
+    assert {t: lookalikes.unify(t) for t in want} == want
+    assert {r.text: r.unified for r in lookalikes.unified(df, "text").collect()} == want
+
+
 def reference_encoder():
     import tiktoken
 
