@@ -1,9 +1,10 @@
 """The same things in two tables without a common key: species by name, synonyms and author.
 
 1. Every name of a record (accepted or synonym) is taken apart into genus, epithet and author surnames; equal name
-   strings are worked on once.
+   strings are worked on once, and so are equal pairs of genus and epithet, whatever their authors.
 2. Candidates share a band of MinHash values: of the letter triples of genus and epithet, or, in fewer rows, of both
-   together with an author. Few names differ little in both, so that few unrelated ones meet by chance.
+   together with an author. Few names differ little in both, so that few unrelated ones meet by chance. All joins are
+   shuffled by hint, since the sizes Spark guesses for exploded keys are far too low for its own broadcasts.
 3. Name pairs get features (edits in genus and epithet, agreement of authors), record pairs the best of their name
    pairs, how many agree, and the families.
 4. A logistic classifier is trained on weak labels, some of them with the author hidden, and calibrated on held-out ones.
@@ -92,66 +93,97 @@ def split_name(raw: str | None) -> tuple[str, str, str]:
     return re.sub(r"[^a-z]", "", genus), re.sub(r"[^a-z]", "", epithet), " ".join(words[2:])
 
 
-def _grams(word: str, size: int) -> np.ndarray:
-    """Hashes of the letters that stand in a row, whatever their order, so that exchanged neighbours change little."""
-    padded = "^" * (size - 1) + word
-    return np.array([zlib.crc32("".join([str(size), *sorted(padded[i : i + size])]).encode()) for i in range(max(1, len(padded) - size + 1))], np.uint64)
-
-
-def _minhash(grams: np.ndarray, which: slice) -> np.ndarray:
-    """The least hash of the grams under each of the hash functions, which must mix well to be independent."""
-    x = (grams[:, None] ^ _SEEDS[which]) * np.uint64(0xBF58476D1CE4E5B9)
-    x ^= x >> np.uint64(29)
-    x *= np.uint64(0x94D049BB133111EB)
-    return (x ^ (x >> np.uint64(32))).min(axis=0)
+def _grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(gram hashes of all words, first gram of each word): GRAM letters in a row, whatever their order, so that exchanged
+    neighbours change little. A word has as many grams as letters."""
+    pad = "^" * (GRAM - 1)
+    code = np.frombuffer("".join([pad + w for w in words]).encode("utf-32-le"), "<u4").astype(np.uint64)
+    sizes = np.array([len(w) for w in words], np.int64)
+    first = np.cumsum(sizes) - sizes
+    at = np.arange(sizes.sum()) + np.repeat((np.arange(len(words)) + 1) * (GRAM - 1), sizes)
+    row = np.sort(np.stack([code[at - k] for k in range(GRAM)]), axis=0)
+    out = np.zeros(len(at), np.uint64)
+    for x in row:
+        out = (out ^ x) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(32)
+    return out, first
+
+
+def _minhash(words: list[str], which: slice) -> np.ndarray:
+    """One row a word: the least hash of its grams under each of the hash functions, which must mix well to be independent."""
+    grams, first = _grams(words)
+    seeds = _SEEDS[which]
+    out = np.empty((len(words), len(seeds)), np.uint64)
+    for k, seed in enumerate(seeds):
+        x = (grams ^ seed) * np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(29)
+        x *= np.uint64(0x94D049BB133111EB)
+        out[:, k] = np.minimum.reduceat(x ^ (x >> np.uint64(32)), first)
+    return out
 
 
-def block_keys(genus: str, epithet: str, author: str) -> list[int]:
-    """The keys under which a name meets others."""
-    if not genus or not epithet:
-        return []
-    stem = epithet[:-ENDING] if len(epithet) > ENDING + 3 else epithet
+def block_keys(genera: list[str], epithets: list[str], surnames_of: list[list[str]]) -> list[list[int]]:
+    """The keys under which each name meets others; a name without genus or epithet meets none."""
+    whole = [i for i, (g, e) in enumerate(zip(genera, epithets)) if g and e]
+    out: list[list[int]] = [[] for _ in genera]
+    if not whole:
+        return out
+    stems = [e[:-ENDING] if len(e) > ENDING + 3 else e for e in (epithets[i] for i in whole)]
     edge = BANDS * GENUS_ROWS
-    g = _minhash(_grams(genus, GRAM), slice(0, edge)).reshape(BANDS, GENUS_ROWS)
-    e = _minhash(_grams(stem, GRAM), slice(edge, _N)).reshape(BANDS, ROWS)
-    mixed = np.concatenate([np.arange(BANDS, dtype=np.uint64)[:, None], g, e], axis=1)
-    keys = np.zeros(BANDS, np.uint64)
-    for col in mixed.T:
-        keys = (keys ^ col) * np.uint64(0x9E3779B97F4A7C15)
-        keys ^= keys >> np.uint64(29)
-    out = keys.view(np.int64).tolist()
-    for name in {s[:SURNAME] for part in surnames(author) for s in part if len(s) >= SURNAME}:
-        for k in range(AUTHOR_BANDS):
-            out.append(zlib.crc32(f"{name}|{k}|{g[k, 0]}|{e[k, 0]}".encode()) - (1 << 40))
+    with np.errstate(over="ignore"):
+        g = _minhash([genera[i] for i in whole], slice(0, edge)).reshape(-1, BANDS, GENUS_ROWS)
+        e = _minhash(stems, slice(edge, _N)).reshape(-1, BANDS, ROWS)
+
+        def mixed(*cols: np.ndarray) -> np.ndarray:
+            keys = np.broadcast_to(np.arange(cols[0].shape[1], dtype=np.uint64), cols[0].shape).copy()
+            for col in cols:
+                keys = (keys ^ col) * np.uint64(0x9E3779B97F4A7C15)
+                keys ^= keys >> np.uint64(29)
+            return keys
+
+        names = mixed(*(g[:, :, k] for k in range(GENUS_ROWS)), *(e[:, :, k] for k in range(ROWS))).view(np.int64)
+        short = mixed(g[:, :AUTHOR_BANDS, 0], e[:, :AUTHOR_BANDS, 0])
+        for row, i in enumerate(whole):
+            keys = names[row].tolist()
+            for s in surnames_of[i]:
+                salt = np.uint64(zlib.crc32(s.encode()) + (1 << 40))
+                keys += ((short[row] ^ salt) * np.uint64(0xD6E8FEB86659FD93)).view(np.int64).tolist()
+            out[i] = keys
     return out
 
 
-_PARSED = T.StructType([*(T.StructField(c, T.StringType()) for c in ("genus", "epithet", "author")), T.StructField("keys", T.ArrayType(T.LongType()))])
-_COMPARED = T.StructType([T.StructField("d_genus", T.IntegerType()), T.StructField("d_epithet", T.IntegerType()), T.StructField("agreement", T.DoubleType())])
+_TEXT = T.StringType()
+_PARSED = T.StructType([*(T.StructField(c, _TEXT) for c in ("genus", "epithet", "author")), T.StructField("heads", T.ArrayType(_TEXT))])
+_EDITS = T.StructType([T.StructField("d_genus", T.IntegerType()), T.StructField("d_epithet", T.IntegerType())])
 
 
 @F.pandas_udf(_PARSED)
 def _parsed(raw: pd.Series, authority: pd.Series) -> pd.DataFrame:
     rows = []
-    with np.errstate(over="ignore"):
-        for r, a in zip(raw, authority):
-            genus, epithet, inline = split_name(r)
-            author = a or inline
-            rows.append((genus, epithet, author, block_keys(genus, epithet, author)))
-    return pd.DataFrame(rows, columns=["genus", "epithet", "author", "keys"])
+    for r, a in zip(raw, authority):
+        genus, epithet, inline = split_name(r)
+        author = a or inline
+        rows.append((genus, epithet, author, sorted({s[:SURNAME] for part in surnames(author) for s in part if len(s) >= SURNAME})))
+    return pd.DataFrame(rows, columns=["genus", "epithet", "author", "heads"])
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _keys(genus: pd.Series, epithet: pd.Series, heads: pd.Series) -> pd.Series:
+    return pd.Series(block_keys(genus.tolist(), epithet.tolist(), [list(h) for h in heads]))
 
 
-@F.pandas_udf(_COMPARED)
-def _compared(g1: pd.Series, e1: pd.Series, a1: pd.Series, g2: pd.Series, e2: pd.Series, a2: pd.Series) -> pd.DataFrame:
+@F.pandas_udf(_EDITS)
+def _edits(g1: pd.Series, e1: pd.Series, g2: pd.Series, e2: pd.Series) -> pd.DataFrame:
     rows = []
-    for p, q, a, r, s, b in zip(g1, e1, a1, g2, e2, a2):
-        if abs(len(p) - len(r)) + abs(len(q) - len(s)) > MOST_EDITS:
-            rows.append((9, 9, -1.0))
-            continue
+    for p, q, r, s in zip(g1, e1, g2, e2):
         dg = distance(p, r)
-        de = distance(q, s) if dg <= MOST_EDITS else 9
-        rows.append((dg, de, author_agreement(a, b) if dg + de <= MOST_EDITS else -1.0))
-    return pd.DataFrame(rows, columns=["d_genus", "d_epithet", "agreement"])
+        rows.append((dg, distance(q, s) if dg <= MOST_EDITS else 9))
+    return pd.DataFrame(rows, columns=["d_genus", "d_epithet"])
+
+
+@F.pandas_udf(T.DoubleType())
+def _agreement(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([author_agreement(x, y) for x, y in zip(a, b)], dtype=float)
 
 
 def _names(df: DataFrame, rec: str, name: str, authority: str, synonyms: str, family: str) -> DataFrame:
@@ -172,9 +204,21 @@ def _names(df: DataFrame, rec: str, name: str, authority: str, synonyms: str, fa
 
 
 def _forms(names: DataFrame) -> DataFrame:
-    """Distinct (raw, authority) with an id, taken apart."""
+    """Distinct (raw, authority) with an id, taken apart, and the id of its pair of genus and epithet."""
     forms = names.select("raw", "authority").distinct().withColumn("p", _parsed("raw", "authority")).select("raw", "authority", "p.*")
-    return cut(forms.withColumn("form", F.monotonically_increasing_id()))
+    return cut(forms.withColumns({"form": F.monotonically_increasing_id(), "name": F.xxhash64("genus", "epithet")}))
+
+
+def _blocked(forms: DataFrame) -> DataFrame:
+    """(name, genus, epithet, keys): one row for each pair of genus and epithet, under the authors of all its forms."""
+    heads = forms.select("name", "genus", "epithet", F.explode_outer("heads").alias("head"))
+    one = heads.groupBy("name", "genus", "epithet").agg(F.collect_set("head").alias("heads"))
+    return cut(one.select("name", "genus", "epithet", _keys("genus", "epithet", "heads").alias("keys")))
+
+
+def _shuffled(a: DataFrame, b: DataFrame, on) -> DataFrame:
+    """An inner join that Spark never turns into a broadcast; crowded keys are split by its skew handling."""
+    return a.join(b.hint("merge"), on)
 
 
 @dataclass
@@ -248,20 +292,24 @@ def match_names(left: DataFrame, right: DataFrame, left_cols: dict[str, str], ri
         names = _names(df, *(cols[c] for c in order))
         sides.append((names, _forms(names)))
     (ln, lf), (rn, rf) = sides
-    keys = [f.select(F.col("form").alias(n), F.explode("keys").alias("key")) for f, n in ((lf, "lform"), (rf, "rform"))]
-    met = keys[0].join(keys[1], "key").select("lform", "rform").distinct()
-    part = [f.select(F.col("form").alias(n + "form"), *[F.col(c).alias(n + c) for c in ("genus", "epithet", "author")]) for f, n in ((lf, "l"), (rf, "r"))]
-    pairs = met.join(part[0], "lform").join(part[1], "rform")
+    blocks = [_blocked(f) for f in (lf, rf)]
+    keys = [f.select(F.col("name").alias(n), F.explode("keys").alias("key")) for f, n in zip(blocks, ("lname", "rname"))]
+    met = _shuffled(*keys, "key").select("lname", "rname").distinct()
+    part = [f.select(*[F.col(c).alias(n + c) for c in ("name", "genus", "epithet")]) for f, n in zip(blocks, "lr")]
+    pairs = _shuffled(_shuffled(met, part[0], "lname"), part[1], "rname")
     plain = [F.levenshtein("l" + c, "r" + c, MOST_PLAIN_EDITS) for c in ("genus", "epithet")]
     pairs = pairs.where((plain[0] >= 0) & (plain[1] >= 0) & (plain[0] + plain[1] <= MOST_PLAIN_EDITS))
-    pairs = pairs.withColumn("c", _compared("lgenus", "lepithet", "lauthor", "rgenus", "repithet", "rauthor")).where(F.col("c.d_genus") + F.col("c.d_epithet") <= MOST_EDITS)
-    pairs = pairs.select("lform", "rform", "c.*")
+    pairs = pairs.withColumn("c", _edits("lgenus", "lepithet", "rgenus", "repithet")).where(F.col("c.d_genus") + F.col("c.d_epithet") <= MOST_EDITS)
+    pairs = pairs.select("lname", "rname", "c.*")
+    for forms, n in ((lf, "l"), (rf, "r")):
+        pairs = _shuffled(pairs, forms.select(*[F.col(c).alias(n + c) for c in ("name", "form", "author")]), n + "name")
+    pairs = pairs.select("lform", "rform", "d_genus", "d_epithet", _agreement("lauthor", "rauthor").alias("agreement"))
     named = []
     for names, forms, n in ((ln, lf, "l"), (rn, rf, "r")):
         known = forms.select(F.col("form").alias(n + "form"), F.col("raw").alias("fraw"), F.col("authority").alias("fauthority"))
         same = F.col("raw").eqNullSafe(F.col("fraw")) & F.col("authority").eqNullSafe(F.col("fauthority"))
-        named.append(names.join(known, same).select(n + "form", *[F.col(c).alias(n + c) for c in ("rec", "family", "accepted")]))
-    full = pairs.join(named[0], "lform").join(named[1], "rform")
+        named.append(_shuffled(names, known, same).select(n + "form", *[F.col(c).alias(n + c) for c in ("rec", "family", "accepted")]))
+    full = _shuffled(_shuffled(pairs, named[0], "lform"), named[1], "rform")
     agrees, unrelated = F.col("agreement") >= 0.5, (F.col("agreement") >= 0) & (F.col("agreement") < 0.34)
     rank = F.when(agrees, 2).when(unrelated, 0).otherwise(1)
     best = F.struct(rank.alias("rank"), (-(F.col("d_genus") + F.col("d_epithet"))).alias("near"), "d_genus", "d_epithet", "lfamily", "rfamily", (F.col("laccepted") & F.col("raccepted")).alias("both"))

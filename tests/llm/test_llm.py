@@ -288,3 +288,45 @@ def test_matching_keeps_exchanged_letters(spark):
     sides = [spark.createDataFrame([(i, pair[k], "Zorelin", [], "Mirvaceae") for i, pair in enumerate(names)], cols) for k in (0, 1)]
     got = {(r.left, r.right): r.d_genus + r.d_epithet for r in matching.match_names(*sides, c, c).collect()}
     assert got[0, 0] == 3 and got[1, 1] == 3
+
+
+def test_matching_recall_against_brute_force(spark):
+    # Every pair of names within two edits, found by comparing all names, is a candidate; authors agree or say nothing.
+    cols = "id long, name string, auth string, syn array<string>, fam string"
+    rng = random.Random(11)
+    word = lambda n: "".join(rng.choice("bcdfglmnprstvz") + rng.choice("aeiou") for _ in range(n))
+
+    def slip(w):
+        k = rng.randrange(1, len(w) - 1)
+        return rng.choice([w[:k] + w[k + 1 :], w[:k] + w[k] + w[k:], w[:k] + w[k + 1] + w[k] + w[k + 2 :], w[:k] + rng.choice("aeioulnr") + w[k + 1 :]])
+
+    base = [(word(rng.choice([3, 4, 5])), word(rng.choice([3, 4, 5])) + rng.choice(["ana", "ensis", "osa", "ica"]), word(3).capitalize() + "n") for _ in range(400)]
+    left = [(i, f"{g.capitalize()} {e}", a, [], None) for i, (g, e, a) in enumerate(base)]
+    right = []
+    for i, (g, e, a) in enumerate(base):
+        for k in range(1 + i % 2):
+            g, e = (slip(g), e) if rng.random() < 0.5 else (g, slip(e))
+        right.append((i, f"{g.capitalize()} {e}", a, [], None))
+    want = set()
+    for i, a, *_ in left:
+        for j, b, *_ in right:
+            (p, q), (r, s) = a.lower().split(), b.lower().split()
+            if abs(len(a) - len(b)) <= 2 and gazetteer.distance(p, r) + gazetteer.distance(q, s) <= 2:
+                want.add((i, j))
+    c = {"rec": "id", "name": "name", "authority": "auth", "synonyms": "syn", "family": "fam"}
+    got = {(r.left, r.right) for r in matching.match_names(spark.createDataFrame(left, cols), spark.createDataFrame(right, cols), c, c).collect()}
+    assert len(want) >= 380 and len(want & got) >= 0.97 * len(want)
+
+
+def test_matching_hot_name_and_no_broadcast(spark):
+    # One species holds a third of the rows under ever other authors; the plan has no broadcast but those of counted sides.
+    cols = "id long, name string, auth string, syn array<string>, fam string"
+    rng = random.Random(12)
+    word = lambda n: "".join(rng.choice("bcdfglmnprstvz") + rng.choice("aeiou") for _ in range(n))
+    left = [(i, "Bacodufige marotilupensis" if i % 3 == 0 else f"{word(4).capitalize()} {word(4)}", f"Zorelin{chr(97 + i % 26)}", None, None) for i in range(300)]
+    right = [(0, "Bacodufige marotilupensis", None, None, None), (1, f"{word(4).capitalize()} {word(4)}", None, None, None)]
+    c = {"rec": "id", "name": "name", "authority": "auth", "synonyms": "syn", "family": "fam"}
+    got = matching.match_names(spark.createDataFrame(left, cols), spark.createDataFrame(right, cols), c, c)
+    assert {r.left for r in got.collect() if r.right == 0} == set(range(0, 300, 3))
+    keys = [matching._blocked(matching._forms(matching._names(spark.createDataFrame(x, cols), "id", "name", "auth", "syn", "fam"))) for x in (left, right)]
+    assert max(r.n for r in keys[0].groupBy("name").agg(F.count("*").alias("n")).collect()) == 1
