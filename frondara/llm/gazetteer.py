@@ -1,32 +1,40 @@
 """Freely typed values mapped to the entries of a reference list, by trees under a true edit metric.
 
-A value is folded (case, accents, look-alikes) and taken apart into forms: its words without those that the reference
-itself puts before its names, the words glued together, and the whole. Each form is looked up in a BK-tree over the
-folded names and aliases of its level; the Damerau-Levenshtein distance is a metric, so the triangle inequality prunes
-the tree without losing an entry within the threshold.
+Equal values are worked on once. A value is folded (case, accents, look-alikes) and taken apart into forms: its words
+without those that the reference itself puts before its names and without those that the values put beside very many
+different words, the rest glued together, and the whole. Each form is looked up in a BK-tree over the folded names and
+aliases of its level; the Damerau-Levenshtein distance is a metric, so the triangle inequality prunes the tree without
+losing an entry within the threshold. The trees are searched by whole batches, node by node.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata as u
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from frondara.llm.lookalikes import unify
+from frondara.session import broadcast_if_small, cut, spread
 
 #: Entries up to which all trees go to every task; a longer list is divided into shards of as many entries.
 SHARD_ENTRIES = 50_000
 #: Most differences for forms of at least so many characters, longest first.
 THRESHOLDS = ((6, 2), (5, 1), (0, 0))
-#: Forms remembered per task; speed only.
+#: A word says something about a place, and names none, if it stands beside other words in so many ways, as a share of
+#: the distinct values (and so many at least). At most words of a value / FILLER_SHARE words can.
+FILLER_SHARE, FILLER_LEAST = 0.005, 5
+#: Searches remembered per task; speed only.
 MEMORY = 300_000
-# Words that say where about a place something is, or join words.
-ABOUT = "cr y alrededores parte alta baja media falda lado cerca de del la las los el al a en n s e o w ne no se so sur norte este oeste zona hacia entre"
-_ABOUT = frozenset(ABOUT.split())
+#: Letters counted apart for the bound of a distance; speed only.
+LETTERS = 32
+#: Pairs compared, and pairs bounded, at a time; speed only.
+SLICE, PAIRS = 2048, 1 << 17
 _SPLIT = re.compile(r"[\s_,;:()\[\]?/]+")
 _GLUED = re.compile(r"(?<=[a-záéíóúüñ])(?=[A-ZÁÉÍÓÚÜÑ])")
 
@@ -63,41 +71,111 @@ def distance(a: str, b: str) -> int:
     return before[-1][-1]
 
 
+def _codes(words: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(code points, one row a word, 0 beyond its end; lengths)."""
+    size = np.array([len(w) for w in words], np.int64)
+    out = np.zeros((len(words), int(size.max(initial=0))), np.uint32)
+    out[np.arange(out.shape[1]) < size[:, None]] = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4")
+    return out, size
+
+
+def distances(a: np.ndarray, a_size: np.ndarray, b: np.ndarray, b_size: np.ndarray) -> np.ndarray:
+    """The Damerau-Levenshtein distance of each row of a from that of b, cell by cell for all pairs together."""
+    out = np.zeros(len(a_size), np.int64)
+    order = np.lexsort((b_size, a_size))  # pairs of about equal length share their cells
+    for start in range(0, len(order), SLICE):
+        k = order[start : start + SLICE]
+        out[k] = _slice_distances(a[k], a_size[k], b[k], b_size[k])
+    return out
+
+
+def _slice_distances(a: np.ndarray, a_size: np.ndarray, b: np.ndarray, b_size: np.ndarray) -> np.ndarray:
+    n, rows, cols = len(a_size), int(a_size.max()), int(b_size.max())
+    d = np.full((rows + 2, cols + 2, n), rows + cols, np.int16)
+    d[1:, 1] = np.arange(rows + 1)[:, None]
+    d[1, 1:] = np.arange(cols + 1)[:, None]
+    letters = np.ascontiguousarray(b[:, :cols].T)
+    row_of = np.zeros((cols, n), np.int16)  # last row before this one whose letter is that of the column
+    for i in range(1, rows + 1):
+        same = letters == a[:, i - 1]
+        other = ~same
+        col_of = np.zeros(n, np.int16)  # last column before this one whose letter is that of the row
+        for j in range(1, cols + 1):
+            best = np.minimum(d[i, j] + other[j - 1], np.minimum(d[i + 1, j], d[i, j + 1]) + 1)
+            swap = np.flatnonzero((row_of[j - 1] > 0) & (col_of > 0)) if i > 1 and j > 1 else ()
+            if len(swap):
+                k, l = row_of[j - 1, swap], col_of[swap]
+                best[swap] = np.minimum(best[swap], d[k, l, swap] + (i - k - 1) + 1 + (j - l - 1))
+            d[i + 1, j + 1] = best
+            col_of[same[j - 1]] = j
+        row_of[same] = i
+    return d[a_size + 1, b_size + 1, np.arange(n)].astype(np.int64)
+
+
+def _bags(codes: np.ndarray) -> np.ndarray:
+    """How often each letter stands in each row; letters that share a count make the bound below lower, never wrong."""
+    out = np.zeros((len(codes), LETTERS), np.int8)
+    for col in codes.T:
+        out[np.flatnonzero(col), col[col > 0] % LETTERS] += 1
+    return out
+
+
 class Tree:
-    """BK-tree of forms, each with the entries it stands for."""
-
-    def __init__(self):
-        self.entries: dict[str, set[int]] = {}
-        self.root: str | None = None
-        self.below: dict[str, dict[int, str]] = {}
-
-    def add(self, form: str, entry: int) -> None:
-        if form in self.entries:
-            self.entries[form].add(entry)
-            return
-        self.entries[form], self.below[form] = {entry}, {}
-        if self.root is None:
-            self.root = form
-            return
-        at = self.root
-        while True:
-            d = distance(form, at)
-            if d not in self.below[at]:
-                self.below[at][d] = form
-                return
-            at = self.below[at][d]
-
-    def within(self, form: str, most: int) -> list[tuple[int, str]]:
-        """(distance, form) of every form within ``most``."""
-        if form in self.entries and most == 0:
-            return [(0, form)]
-        out, stack = [], [self.root] if self.root is not None and most else []
+    """BK-tree of forms, each with the entries it stands for.
+
+    A search works out the distance from a node only where the letters allow it to be within the radius; elsewhere their
+    difference, which no edit lowers by more than one, takes its place as a lower bound in the triangle inequality.
+    """
+
+    def __init__(self, entries: dict[str, set[int]]):
+        self.entries = entries
+        self.forms = sorted(entries)
+        self.codes, self.size = _codes(self.forms)
+        self.bags = _bags(self.codes)
+        edges: list[tuple[int, int, int]] = []
+        stack = [(-1, 0, np.arange(len(self.forms)))] if self.forms else []
         while stack:
-            at = stack.pop()
-            d = distance(form, at)
-            if d <= most:
-                out.append((d, at))
-            stack += [f for k, f in self.below[at].items() if d - most <= k <= d + most]
+            above, d, members = stack.pop()
+            node, rest = int(members[0]), members[1:]
+            if above >= 0:
+                edges.append((above, d, node))
+            if len(rest):
+                one = np.full(len(rest), node)
+                away = distances(self.codes[rest], self.size[rest], self.codes[one], self.size[one])
+                stack += [(node, int(k), rest[away == k]) for k in np.unique(away)]
+        below = np.array(sorted(edges), np.int64).reshape(-1, 3)
+        #: Children of node i: edge and child from first[i] to first[i + 1].
+        self.first = np.searchsorted(below[:, 0], np.arange(len(self.forms) + 1))
+        self.edge, self.child = below[:, 1], below[:, 2]
+
+    def within(self, forms: Sequence[str], most: int) -> list[list[tuple[int, str]]]:
+        """For each form (distance, name) of every name within ``most``; all forms go down the tree together."""
+        out: list[list[tuple[int, str]]] = [[] for _ in forms]
+        if not self.forms or not len(forms):
+            return out
+        codes, size = _codes(forms)
+        bags = _bags(codes)
+        stack = [(np.zeros(len(forms), np.int64), np.arange(len(forms)))]
+        while stack:
+            node, q = stack.pop()
+            if len(q) > PAIRS:
+                stack += [(node[k : k + PAIRS], q[k : k + PAIRS]) for k in range(0, len(q), PAIRS)]
+                continue
+            more = np.maximum(bags[q] - self.bags[node], 0).sum(axis=1, dtype=np.int64)
+            low = np.maximum(more, more - size[q] + self.size[node])
+            high = np.maximum(size[q], self.size[node])
+            near = np.flatnonzero(low <= most)
+            if len(near):
+                d = distances(codes[q[near]], size[q[near]], self.codes[node[near]], self.size[node[near]])
+                low[near] = high[near] = d
+                for k in np.flatnonzero(d <= most):
+                    out[q[near[k]]].append((int(d[k]), self.forms[node[near[k]]]))
+            start, n = self.first[node], self.first[node + 1] - self.first[node]
+            pair = np.repeat(np.arange(len(q)), n)
+            at = np.repeat(start - np.cumsum(n) + n, n) + np.arange(len(pair))
+            keep = (low[pair] - most <= self.edge[at]) & (self.edge[at] <= high[pair] + most)
+            if keep.any():
+                stack.append((self.child[at[keep]], q[pair[keep]]))
         return out
 
 
@@ -113,22 +191,28 @@ def _by_length(prefixes: set[str]) -> list[str]:
     return sorted((p for p in prefixes if len(p) > 2), key=lambda p: (-len(p), p))
 
 
+def words_of(value: str) -> list[str]:
+    """The folded words of a typed value."""
+    return [w for x in _SPLIT.split(_GLUED.sub(" ", unify(value))) if (w := fold(x))]
+
+
 class Reference:
     """Trees of a reference list, one a level; kinds: the words that stand before names.
 
-    before: the kinds and prefixes of the whole list, where the rows are only a part of it.
+    before: the kinds and prefixes of the whole list, where the rows are only a part of it. filler: words of the values
+    that name no place; those that are names themselves stay.
     """
 
-    def __init__(self, rows: Sequence[tuple[int, str, str | None, str | None]], before: tuple[set[str], set[str]] | None = None):
-        self.trees: dict[str | None, Tree] = {}
+    def __init__(self, rows: Sequence[tuple[int, str, str | None, str | None]], before: tuple[set[str], set[str]] | None = None, filler: Iterable[str] = ()):
         self.full: dict[int, list[str]] = {}
         self.kinds: set[str] = set()
         prefixes: set[str] = set()
-        self.memory: dict[tuple[str, tuple], tuple[int, int]] = {}
+        self.memory: dict[tuple[str | None, str, int], list[tuple[int, str]]] = {}
+        forms: dict[str | None, dict[str, set[int]]] = {}
         for gid, name, level, aliases in rows:
             names = _names(name, aliases)
             self.full[gid] = [fold(x) for x in names]
-            tree = self.trees.setdefault(level, Tree())
+            at = forms.setdefault(level, {})
             for x in names:
                 words = _words(x)
                 if not words:
@@ -136,59 +220,90 @@ class Reference:
                 self.kinds.update(words[:-1])
                 if len(words) > 1:
                     prefixes.add("".join(words[:-1]))
-                tree.add("".join(words), gid)
-                tree.add(words[-1], gid)
+                at.setdefault("".join(words), set()).add(gid)
+                at.setdefault(words[-1], set()).add(gid)
+        self.trees = {level: Tree(x) for level, x in forms.items()}
         # A word that is itself a name stays one.
-        self.kinds -= {f for t in self.trees.values() for f in t.entries}
+        self.kinds -= {f for x in forms.values() for f in x}
         if before is not None:
             self.kinds, prefixes = before
+        self.filler = set(filler)
         self.prefixes = _by_length(prefixes)
 
-    def forms(self, value: str) -> list[str]:
-        """The forms under which a value is looked up."""
-        words = [w for x in _SPLIT.split(_GLUED.sub(" ", unify(value))) if (w := fold(x))]
-        names = [w for w in words if w not in self.kinds and w not in _ABOUT]
+    def forms(self, words: Sequence[str]) -> list[str]:
+        """The forms under which a value of these words is looked up."""
+        told = [w for w in words if w not in self.filler]
+        names = [w for w in told if w not in self.kinds]
         out = list(names)
         for w in [*names, "".join(words)]:
             for p in self.prefixes:
                 if w.startswith(p) and len(w) - len(p) >= 4:
                     out.append(w[len(p) :])
                     break
-        out.append("".join(w for w in words if w not in _ABOUT))
-        out.append("".join(words))
+        out += ["".join(told), "".join(words)]
         return list(dict.fromkeys(f for f in out if len(f) > 2))
 
-    def match(self, value: str, levels: Sequence[str | None]) -> tuple[int, int]:
-        """(entry, distance) of the closest entry of any of the levels; (-1, -1) if none is within the threshold."""
-        key = (value, tuple(levels))
-        if key not in self.memory:
-            if len(self.memory) > MEMORY:
-                self.memory.clear()
-            self.memory[key] = self._match(value, levels)
-        return self.memory[key]
-
-    def _match(self, value: str, levels: Sequence[str | None]) -> tuple[int, int]:
-        trees = [self.trees[k] for k in levels if k in self.trees]
-        forms = self.forms(value)
-        found: dict[int, int] = {}
-        for most in (0, 1, 2):
-            for form in forms:
-                if most <= next(t for n, t in THRESHOLDS if len(form) >= n):
-                    for tree in trees:
-                        for d, f in tree.within(form, most):
-                            for gid in tree.entries[f]:
-                                found[gid] = min(found.get(gid, d), d)
-            if found:
-                break
-        if not found:
-            return -1, -1
-        # The narrow search comes first: most typed values have one slip, and a wider radius visits far more of the tree.
-        least = min(found.values())
-        best = [g for g, d in found.items() if d == least]
-        if len(best) > 1:
-            whole = fold(value)
-            best.sort(key=lambda g: (min(distance(whole, f) for f in self.full[g]), g))
-        return best[0], least
+    def _look(self, wanted: dict[str | None, set[str]], most: int) -> None:
+        """Searches the trees for all wanted forms at once and remembers what stands within ``most``."""
+        for level, forms in wanted.items():
+            new = sorted(f for f in forms if (level, f, most) not in self.memory)
+            if new:
+                if len(self.memory) > MEMORY:
+                    self.memory.clear()
+                    new = sorted(forms)
+                known = self.trees[level].entries
+                hits = [[(0, f)] if f in known else [] for f in new] if most == 0 else self.trees[level].within(new, most)
+                self.memory.update(((level, f, most), h) for f, h in zip(new, hits))
+
+    def within(self, asked: Sequence[tuple[Sequence[str], Sequence[str | None]]], least: bool = False) -> list[dict[int, int]]:
+        """For each (words, levels) the entries within the threshold of any of its forms, and their distance.
+
+        least: only those of the least radius that has any, which hold the nearest; most typed values have one slip, and
+        a wider radius visits far more of a tree.
+        """
+        forms = [self.forms(words) for words, _ in asked]
+        levels = [[k for k in ls if k in self.trees] for _, ls in asked]
+        top = THRESHOLDS[0][1]
+        found: list[dict[int, int]] = [{} for _ in asked]
+        todo = range(len(asked))
+        for most in range(top + 1) if least else [None]:
+            wanted: dict[int, dict[str | None, set[str]]] = {}
+            plan = []
+            for i in todo:
+                for f in forms[i]:
+                    limit = next(t for n, t in THRESHOLDS if len(f) >= n)
+                    if most is None or most <= limit:
+                        radius = limit if most is None else most
+                        plan.append((i, f, radius))
+                        for k in levels[i]:
+                            wanted.setdefault(radius, {}).setdefault(k, set()).add(f)
+            for radius, by_level in wanted.items():
+                self._look(by_level, radius)
+            for i, f, radius in plan:
+                for k in levels[i]:
+                    for d, name in self.memory[k, f, radius]:
+                        for gid in self.trees[k].entries[name]:
+                            found[i][gid] = min(found[i].get(gid, d), d)
+            todo = [i for i in todo if not found[i]]
+        return found
+
+    def nearest(self, values: Sequence[str], asked: Sequence[tuple[Sequence[str], Sequence[str | None]]], part: bool = False) -> list[tuple[int, int, int]]:
+        """(entry, distance, distance of the full names) of the closest entry; -1 each if none is within the threshold.
+
+        The full names are compared to break ties only, unless the list is part of a longer one.
+        """
+        out = []
+        for value, found in zip(values, self.within(asked, least=True)):
+            if not found:
+                out.append((-1, -1, -1))
+                continue
+            least = min(found.values())
+            best, full = [g for g, d in found.items() if d == least], 0
+            if part or len(best) > 1:
+                whole = fold(value)
+                full, best[0] = min((min(distance(whole, f) for f in self.full[g]), g) for g in best)
+            out.append((best[0], least, full))
+        return out
 
 
 def _before_names(ref: DataFrame) -> tuple[set[str], set[str]]:
@@ -211,51 +326,116 @@ def _before_names(ref: DataFrame) -> tuple[set[str], set[str]]:
     return {r.word for r in kinds}, {r.word for r in of("prefix").collect()}
 
 
+_WORDED = T.ArrayType(T.StringType())
+
+
+@F.pandas_udf(_WORDED)
+def _worded(values: pd.Series) -> pd.Series:
+    return values.map(words_of)
+
+
+def _asked(values: DataFrame) -> DataFrame:
+    """(value, levels, words) of every distinct non-null value, written once."""
+    return cut(spread(values.where(F.col("value").isNotNull()).select("value", "levels").distinct()).withColumn("words", _worded("value")))
+
+
+def _fillers(asked: DataFrame) -> list[str]:
+    """Words that stand beside other words in very many ways; see FILLER_SHARE for their number."""
+    least = max(FILLER_LEAST, FILLER_SHARE * asked.count())
+    each = asked.select(F.posexplode("words").alias("k", "word"), "words")
+    rest = F.xxhash64(F.filter("words", lambda w, i: i != F.col("k")))
+    return [r[0] for r in each.groupBy("word").agg(F.approx_count_distinct(rest, 0.02).alias("n")).where(F.col("n") >= least).select("word").collect()]
+
+
+def _searched(values: DataFrame, reference: DataFrame, shard_entries: int, search, schema: str) -> tuple[DataFrame, int]:
+    """The rows that ``search(reference, batch, asked, whether the list is part of a longer one)`` gives of all distinct values, from every shard, and the number of shards.
+
+    A short list is one shard. Each shard's trees are built once and go to the tasks in turn; nothing is shuffled.
+    """
+    spark = values.sparkSession
+    ref = reference.select(F.col("gaz_id").cast("long"), "canonical_name", "hierarchy_level", "aliases").where(F.col("canonical_name").isNotNull())
+    asked = _asked(values)
+    filler = _fillers(asked)
+    head = ref.limit(shard_entries + 1).collect()
+    shards = 1 if len(head) <= shard_entries else -(-ref.count() // shard_entries)
+    before = _before_names(ref)
+    filler = [w for w in filler if w not in _names_among(ref, filler)]
+    out = None
+    for k in range(shards):
+        rows = head if shards == 1 else ref.where(F.pmod(F.xxhash64("gaz_id"), F.lit(shards)) == k).collect()
+        shared = spark.sparkContext.broadcast(Reference([tuple(r) for r in rows], before, filler))
+
+        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            known = shared.value
+            for b in batches:
+                every = list(known.trees)
+                levels = [every if ls is None else list(ls) for ls in b["levels"]]
+                yield search(known, b, list(zip(b["words"].map(list), levels)), shards > 1)
+
+        part = asked.mapInPandas(run, schema)
+        out = part if out is None else out.unionByName(part)
+    return out, shards
+
+
+def _names_among(ref: DataFrame, words: list[str]) -> set[str]:
+    """Which of a few words are names of the list themselves, whole or by their last word."""
+    wanted = set(words)
+
+    def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            hit: set[str] = set()
+            for name, aliases in zip(b["canonical_name"], b["aliases"]):
+                for w in filter(None, map(_words, _names(name, aliases))):
+                    hit |= {"".join(w), w[-1]} & wanted
+            yield pd.DataFrame({"word": sorted(hit)}, dtype=object)
+
+    return {r[0] for r in ref.mapInPandas(parts, "word string").distinct().collect()} if words else set()
+
+
+def _back(values: DataFrame, won: DataFrame) -> DataFrame:
+    """``won`` (by value and levels) joined to all rows: broadcast if its counted rows allow it, else by shuffle."""
+    won = won.select(F.col("value").alias("_value"), F.col("levels").alias("_levels"), *[F.col(c).alias("_" + c) for c in won.columns if c not in ("value", "levels")])
+    same = F.col("value").eqNullSafe(F.col("_value")) & F.col("levels").eqNullSafe(F.col("_levels"))
+    return values.join(broadcast_if_small(won), same, "left")
+
+
+_FOUND = "value string, levels array<string>, gaz_id bigint, distance int"
+
+
 def map_values(values: DataFrame, reference: DataFrame, shard_entries: int = SHARD_ENTRIES) -> DataFrame:
     """``values`` with ``gaz_id`` and ``distance``: the closest entry, or -1 and -1 where none is meant.
 
     values: ``value`` string and ``levels`` array of the levels it may have (null: any level), and any other columns,
     which are kept. reference: ``gaz_id``, ``canonical_name``, ``hierarchy_level``, ``aliases``. Null values get null;
-    empty ones are unmatched; ties go to the entry whose full name is nearest, then to the lower id. A short list goes
-    to the tasks whole, and no row is shuffled; a longer one is divided by hash, every distinct value meets every
-    shard, and the shards' winners are merged.
+    empty ones are unmatched; ties go to the entry whose full name is nearest, then to the lower id. Each distinct value
+    is searched once; a short list goes to the tasks whole, a longer one shard by shard, and the shards' winners are
+    merged.
     """
     cols = values.columns
-    ref = reference.select(F.col("gaz_id").cast("long"), "canonical_name", "hierarchy_level", "aliases").where(F.col("canonical_name").isNotNull())
-    head = ref.limit(shard_entries + 1).collect()
 
-    def match_all(known: Reference, texts: pd.Series, levels: pd.Series) -> pd.DataFrame:
-        every = list(known.trees)
-        got = [(None, None) if t is None else known.match(t, every if ls is None else list(ls)) for t, ls in zip(texts, levels)]
-        return pd.DataFrame({"gaz_id": pd.array([g for g, _ in got], "Int64"), "distance": pd.array([d for _, d in got], "Int32")})
+    def search(known: Reference, b: pd.DataFrame, asked: list, part: bool) -> pd.DataFrame:
+        got = known.nearest(b["value"], asked, part)
+        return b[["value", "levels"]].assign(gaz_id=[g[0] for g in got], distance=[g[1] for g in got], full=[g[2] for g in got])
 
-    if len(head) <= shard_entries:
-        shared = values.sparkSession.sparkContext.broadcast(Reference([tuple(r) for r in head]))
+    won, shards = _searched(values, reference, shard_entries, search, _FOUND + ", full int")
+    if shards > 1:
+        won = won.groupBy("value", "levels").agg(F.min(F.when(F.col("gaz_id") >= 0, F.struct("distance", "full", "gaz_id"))).alias("w"))
+        won = won.select("value", "levels", *[F.coalesce(F.col(f"w.{c}"), F.lit(-1)).alias(c) for c in ("gaz_id", "distance")])
+    won = cut(won.select("value", "levels", "gaz_id", "distance"))
+    return _back(values, won).select(*cols, F.col("_gaz_id").alias("gaz_id"), F.col("_distance").alias("distance"))
 
-        @F.pandas_udf("gaz_id bigint, distance int")
-        def look(texts: pd.Series, levels: pd.Series) -> pd.DataFrame:
-            return match_all(shared.value, texts, levels)
 
-        return values.withColumn("_m", look("value", "levels")).select(*cols, "_m.gaz_id", "_m.distance")
+def entries_within(values: DataFrame, reference: DataFrame, shard_entries: int = SHARD_ENTRIES) -> DataFrame:
+    """(value, levels, gaz_id, distance): every entry within the threshold of each distinct non-null value.
 
-    shards = -(-ref.count() // shard_entries)
-    before = values.sparkSession.sparkContext.broadcast(_before_names(ref))
-    distinct = values.select("value", "levels").where(F.col("value").isNotNull()).distinct()
-    asked = distinct.withColumn("_shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("_part", F.pmod(F.xxhash64("value"), F.lit(64)).cast("int"))
-    entries = ref.withColumn("_shard", F.pmod(F.xxhash64("gaz_id"), F.lit(shards)).cast("int")).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(63))))
+    Values without any give no rows; otherwise as :func:`map_values`.
+    """
 
-    def join(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        known = Reference(list(b[["gaz_id", "canonical_name", "hierarchy_level", "aliases"]].itertuples(index=False, name=None)), before.value)
-        got = match_all(known, a["value"], a["levels"])
-        got["full"] = pd.array([min(distance(fold(v), f) for f in known.full[g]) if g >= 0 else -1 for v, g in zip(a["value"], got["gaz_id"])], "Int32")
-        return pd.concat([a[["value", "levels"]].reset_index(drop=True), got], axis=1)
+    def search(known: Reference, b: pd.DataFrame, asked: list, part: bool) -> pd.DataFrame:
+        rows = [(v, ls, g, d) for v, ls, found in zip(b["value"], b["levels"], known.within(asked)) for g, d in sorted(found.items())]
+        return pd.DataFrame(rows, columns=["value", "levels", "gaz_id", "distance"])
 
-    won = asked.groupBy("_shard", "_part").cogroup(entries.groupBy("_shard", "_part")).applyInPandas(join, "value string, levels array<string>, gaz_id bigint, distance int, full int")
-    won = won.groupBy("value", "levels").agg(F.min(F.when(F.col("gaz_id") >= 0, F.struct("distance", "full", "gaz_id"))).alias("_w"))
-    won = won.select(F.col("value").alias("_value"), F.col("levels").alias("_levels"), "_w")
-    same = F.col("value").eqNullSafe(F.col("_value")) & F.col("levels").eqNullSafe(F.col("_levels"))
-    hit = [F.when(F.col("value").isNotNull(), F.coalesce(F.col(f"_w.{c}"), F.lit(-1))).alias(c) for c in ("gaz_id", "distance")]
-    return values.join(won, same, "left").select(*cols, *hit)
+    return _searched(values, reference, shard_entries, search, _FOUND)[0]
 
 
 def not_canonical(values: DataFrame, reference: DataFrame) -> DataFrame:

@@ -211,13 +211,12 @@ def test_word_hashes_keep_all_scripts():
 def test_tree_is_complete():
     rng = random.Random(1)
     forms = ["".join(rng.choice("abcd") for _ in range(rng.randint(3, 8))) for _ in range(300)]
-    tree = gazetteer.Tree()
-    for i, f in enumerate(forms):
-        tree.add(f, i)
-    for _ in range(60):
-        q = "".join(rng.choice("abcd") for _ in range(rng.randint(3, 8)))
-        for most in (1, 2):
-            assert {f for _, f in tree.within(q, most)} == {f for f in forms if gazetteer.distance(q, f) <= most}
+    tree = gazetteer.Tree({f: {i} for i, f in enumerate(forms)})
+    asked = ["".join(rng.choice("abcd") for _ in range(rng.randint(3, 8))) for _ in range(60)] + ["é", "日本語の山"]
+    for most in (0, 1, 2):
+        for q, got in zip(asked, tree.within(asked, most)):
+            assert sorted(got) == sorted({(d, f) for f in forms if (d := gazetteer.distance(q, f)) <= most})
+    for q in asked[:60]:
         x, y = rng.choice(forms), rng.choice(forms)
         assert gazetteer.distance(q, y) <= gazetteer.distance(q, x) + gazetteer.distance(x, y)
 
@@ -242,6 +241,47 @@ def test_map_values_shards_make_no_difference(spark):
     assert parts == whole and whole[0] == (3, 0)
 
 
+def test_map_values_against_brute_force(spark):
+    # 500 entries with shared prefixes and near names; sharded and whole, every entry within the threshold and the nearest.
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("bcdfmnrtz") + rng.choice("aeiou") for _ in range(rng.choice([2, 3, 4])))
+    names = [word().capitalize() for _ in range(250)]
+    rows = [(i, f"{rng.choice(['Cerro', 'Fila', 'Alto de'])} {names[i // 2]}", rng.choice(["fila", "other"]), rng.choice([None, f"Cerro {word()}"])) for i in range(500)]
+    ref = spark.createDataFrame(rows, "gaz_id long, canonical_name string, hierarchy_level string, aliases string")
+    typed = []
+    for _ in range(300):
+        n = list(rng.choice(names).lower())
+        for _ in range(rng.randrange(3)):
+            n[rng.randrange(len(n))] = rng.choice("aeioubcd")
+        typed.append(rng.choice(["cerro ", "", "FILA ", "alto de ", "junto a "]) + "".join(n))
+    v = spark.createDataFrame([(i, t, rng.choice([["fila"], ["other"], None])) for i, t in enumerate(typed)], "id int, value string, levels array<string>")
+    every = {n: {(r.value, tuple(r.levels or ()), r.gaz_id, r.distance) for r in gazetteer.entries_within(v, ref, shard_entries=n).collect()} for n in (999, 90)}
+    assert every[999] == every[90]
+    known = gazetteer.Reference(rows)
+    for value, levels in {(t, tuple(ls or ())) for _, t, ls in (tuple(r) for r in v.collect())}:
+        best: dict[int, int] = {}
+        for f in known.forms(gazetteer.words_of(value)):
+            most = next(t for n, t in gazetteer.THRESHOLDS if len(f) >= n)
+            for level, tree in known.trees.items():
+                for name in tree.entries if not levels or level in levels else ():
+                    if (d := gazetteer.distance(f, name)) <= most:
+                        for g in tree.entries[name]:
+                            best[g] = min(best.get(g, d), d)
+        assert {(g, d) for x, ls, g, d in every[999] if (x, ls) == (value, levels)} == set(best.items()), value
+    nearest = [[(r.gaz_id, r.distance) for r in gazetteer.map_values(v, ref, shard_entries=n).orderBy("id").collect()] for n in (999, 90)]
+    assert nearest[0] == nearest[1] and sum(g >= 0 for g, _ in nearest[0]) > 100
+
+
+def test_fillers_come_from_the_values(spark):
+    # "junto" and "loma" stand beside many different words; "Loma" is also a name of the list and stays one.
+    names = ["".join(p) for p in zip("bcdfghjklm" * 3, "aeiou" * 6, "rstvz" * 6, "oaiue" * 6, "nlmr" * 7 + "zz")]
+    v = spark.createDataFrame([(f"{w} {n}", None) for n in names for w in ("junto", "loma", "x")], "value string, levels array<string>")
+    assert {"junto", "loma"} <= set(gazetteer._fillers(gazetteer._asked(v)))
+    ref = spark.createDataFrame([(1, "Cerro Loma", "fila", None), (2, "Cerro Juntox", "fila", None)], "gaz_id long, canonical_name string, hierarchy_level string, aliases string")
+    got = {r.value: r.gaz_id for r in gazetteer.map_values(v, ref).collect()}
+    assert got[f"loma {names[0]}"] == 1 and got[f"junto {names[0]}"] == -1
+
+
 def test_scans(spark):
     habitats = ["Bosque húmedo, suelos volcánicos, centro-oriental, sub- y suprapáramo, 100–900 m", "Bosque seco, laderas empinadas, troncos caídos, 50–450 m"] * 60
     rows = [("h", i, t) for i, t in enumerate(habitats)]
