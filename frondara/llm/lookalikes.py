@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata as u
 from functools import lru_cache
 
@@ -99,9 +100,13 @@ def _lone_greek(c: str, before: str, after: str) -> bool:
     return "Α" <= c <= "ω" and c.islower() and c not in LONE_LATIN and not before.isalpha() and not after.isalpha()
 
 
+#: Anything but ASCII and characters that are their own form whatever stands beside them.
+_UNUSUAL = re.compile(r"[^\x00-\x7fáéíóúüñÁÉÍÓÚÜÑªº¬·–—¿¡]")
+
+
 def unify(text: str) -> str:
     """The same form for one string in Python, for stages that follow on it; compared with the operator in the tests."""
-    if text.isascii():
+    if not _UNUSUAL.search(text):
         return text
     made, accents = decompositions(), apart()
     out = []

@@ -1,10 +1,11 @@
 """Readable paragraphs from the text of scanned pages: running heads, page numbers, broken words, misread characters.
 
 Two passes. The first counts, over all records and in the JVM, how often every word occurs, which hyphenated compounds
-the corpus itself writes inside a line, and which lines stand next to a page number again and again (folded, so that a
-misread running head counts with the right one). Only what reaches a share of the records is kept, so these tables are
-bounded by the words of a record divided by the share, whatever the number of records. The second pass repairs record
-by record: furniture out, lines joined, misread words replaced.
+the corpus itself writes inside a line, which lines stand next to a page number again and again (folded, so that a
+misread running head counts with the right one), and which endings the words in capitals of such lines share, since heads
+that name the page's own contents each come a few times only. Only what reaches a share of the records is kept, so these
+tables are bounded by the words of a record divided by the share, whatever the number of records. The second pass repairs
+record by record: furniture out, lines joined where the corpus' words say so, misread words replaced.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
 
+import ahocorasick
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +29,8 @@ KNOWN_SHARE, LOW_SHARE = 0.003, 0.0003
 TIMES = 8
 #: Share of the records (and least number) that show a folded line beside a page number, for a running head.
 HEAD_SHARE, HEAD_LEAST = 0.0002, 3
+#: Letters of an ending shared by heads in capitals, their least length, and the share of all numbered lines that have it.
+ENDING, CAPITALS, ENDING_SHARE = 5, 6, 0.1
 #: Share of a field's records from which a word that is mostly capitalised counts as a word of the text, not a name.
 CAPITAL_SHARE = 0.08
 
@@ -47,21 +51,22 @@ _LINE = re.compile(r"\r?\n")
 _NUMBER = r"\d{1,4}"
 _PAGE_LINE = re.compile(rf"\s*(?:{_NUMBER}|\[\s*{_NUMBER}\s*\]|[—–-]\s*{_NUMBER}\s*[—–-]|p[aá]g\.?\s*{_NUMBER})\s*")
 _PAGE_INLINE = re.compile(rf"\[\s*{_NUMBER}\s*\]|(?<!\S)[—–-]\s+{_NUMBER}\s+[—–-](?!\S)|\bp[aá]g\.\s*{_NUMBER}\b")
-#: Family names in capitals, as running heads print them, with the genus before a dash.
-_FAMILY = re.compile(r"(?:\b[^\W\d_]+\s*—\s*)?\b[A-ZÁÉÍÓÚÑÜ0-9]{2,}ACEAE\b")
+#: A word in capitals, as running heads print names, with another word before a dash.
+_CAPITALS = re.compile(rf"(?:\b[^\W\d_]+\s*[—–]\s*)?\b([A-ZÁÉÍÓÚÑÜ0-9]{{{CAPITALS},}})\b")
 _BEFORE = re.compile(rf"(?<![\w.–-]){_NUMBER}\s*[·—|]?\s*$")
 _AFTER = re.compile(rf"\s*[·—|]?\s*{_NUMBER}(?![\w.:(–-])")
 _HYPHEN = re.compile(r"([^\W_]+)([-¬])(\s+|)([^\W_]*)")
 _WORD = re.compile(r"[^\W_]+")
 _LETTER_NUMBER = re.compile(rf"(?<![^\W_])[{DIGIT_LIKE}]{{1,4}}(?=–\d|–[{DIGIT_LIKE}\d]{{2,4}}\b|\(–\d)|(?<=\d–)[{DIGIT_LIKE}]{{2,4}}(?![^\W_])")
 _FOLD = str.maketrans("l1|0586q92", "iiiosbbggz")
-
-
 _QUICK = {n: None for n in range(0x2100) if not chr(n).isalnum()} | _FOLD | {ord(a): b for a, b in zip("áéíóúüñàèìòùâêîôûç", "aeiouunaeiouaeiouc")}
 
 
 def fold(text: str) -> str:
     """Letters without accents, case and blanks; characters that scans confuse become one."""
+    quick = text.lower().translate(_QUICK)
+    if quick.isascii():
+        return quick
     return "".join(c for c in u.normalize("NFD", text.lower()).translate(_FOLD) if c.isalnum())
 
 
@@ -80,6 +85,38 @@ class Corpus:
     lower: dict[str, float] = field(default_factory=dict)
     compounds: set[str] = field(default_factory=set)
     heads: list[str] = field(default_factory=list)
+    endings: set[str] = field(default_factory=set)
+
+    @cached_property
+    def by_length(self) -> dict[int, list[str]]:
+        """The heads, and at each length those that a line of that length can be a misreading of."""
+        out: dict[int, list[str]] = {}
+        for h in self.heads:
+            for n in range(len(h) - 2, len(h) + 3):
+                out.setdefault(n, []).append(h)
+        return out
+
+    @cached_property
+    def inside(self) -> ahocorasick.Automaton | None:
+        """Finds all heads in a folded text at once."""
+        if not self.heads:
+            return None
+        out = ahocorasick.Automaton()
+        for h in self.heads:
+            out.add_word(h, h)
+        out.make_automaton()
+        return out
+
+    def __getstate__(self) -> dict:
+        return {k: self.__dict__[k] for k in ("share", "lower", "compounds", "heads", "endings")}
+
+    @cached_property
+    def longest(self) -> int:
+        return max(map(len, self.known), default=0)
+
+    @cached_property
+    def _lines(self) -> dict[str, bool]:
+        return {}
 
     @cached_property
     def known(self) -> set[str]:
@@ -107,33 +144,62 @@ class Corpus:
             self._memory[key] = self._right_form(w, loose)
         return self._memory[key]
 
+    @cached_property
+    def _misreadings(self) -> dict[str, list[str]]:
+        """What each known word becomes by one confusion -> the known words."""
+        out: dict[str, list[str]] = {}
+        for y in sorted(self.known):
+            for bad, goods in MISREAD.items():
+                for good in [goods] if len(bad) > 1 else goods:
+                    for x in _replaced(y, good, bad):
+                        out.setdefault(x, []).append(y)
+        return out
+
+    @cached_property
+    def _shortened(self) -> dict[str, list[str]]:
+        """The known words with up to two letters left out -> the known words."""
+        out: dict[str, list[str]] = {}
+        for y in sorted(self.known):
+            for x in _left_out(y, 2):
+                out.setdefault(x, []).append(y)
+        return out
+
     def _right_form(self, w: str, loose: bool) -> str | None:
+        if len(w) > self.longest + 2:
+            return None  # two confusions take off two letters at most
         own = self.share.get(w, 0.0)
-        best, best_share = None, max(own * TIMES, KNOWN_SHARE)
-        seen, front = {w}, [w]
-        for _ in range(2 if len(w) > 3 else 1):
-            new = []
-            for x in front:
-                for bad, goods in MISREAD.items():
-                    at = x.find(bad)
-                    while at >= 0:
-                        for good in [goods] if len(bad) > 1 else goods:
-                            y = x[:at] + good + x[at + len(bad) :]
-                            if y not in seen:
-                                seen.add(y)
-                                new.append(y)
-                                if y in self.known and self.share[y] >= best_share and (len(y) > 1 or w == "rn") and (len(w) > 2 or len(y) < len(w) or not w.isalpha()):
-                                    best, best_share = y, self.share[y]
-                        at = x.find(bad, at + 1)
-            if best:
-                return best
-            front = new if len(new) < 600 else []
-        if loose and own < KNOWN_SHARE and len(w) >= 4:
+        least = max(own * TIMES, KNOWN_SHARE)
+
+        def best(found: set[str]) -> str | None:
+            fit = [y for y in found if y != w and self.share[y] >= least and (len(y) > 1 or w == "rn") and (len(w) > 2 or len(y) < len(w) or not w.isalpha())]
+            return max(fit, key=lambda y: (self.share[y], y), default=None)
+
+        right = best(set(self._misreadings.get(w, ())))
+        if right is None and len(w) > 3:
+            once = {x for bad, goods in MISREAD.items() for good in ([goods] if len(bad) > 1 else goods) for x in _replaced(w, bad, good)}
+            right = best({y for x in once for y in self._misreadings.get(x, ())})
+        if right is None and loose and own < KNOWN_SHARE and len(w) >= 4:
             most = 2 if len(w) >= 7 else 1
-            near = [(d, -self.share[k], k) for k in self.known if abs(len(k) - len(w)) <= most and (d := _distance(w, k, most)) <= most]
-            if near:
-                return min(near)[2]
-        return None
+            near = {y for x in _left_out(w, most) for y in self._shortened.get(x, ())}
+            right = min(((d, -self.share[y], y) for y in near if (d := _distance(w, y, most)) <= most), default=(0, 0, None))[2]
+        return right
+
+
+def _replaced(word: str, old: str, new: str) -> Iterator[str]:
+    """The word with one occurrence of ``old`` put as ``new``, for each of them."""
+    at = word.find(old)
+    while at >= 0:
+        yield word[:at] + new + word[at + len(old) :]
+        at = word.find(old, at + 1)
+
+
+def _left_out(word: str, most: int) -> set[str]:
+    """The word with up to ``most`` letters left out; words within so many edits share one of these."""
+    out = front = {word}
+    for _ in range(most):
+        front = {x[:i] + x[i + 1 :] for x in front for i in range(len(x))}
+        out = out | front
+    return out
 
 
 def _distance(a: str, b: str, most: int) -> int:
@@ -177,6 +243,11 @@ def learn(texts: DataFrame) -> Corpus:
     least = max(HEAD_LEAST, HEAD_SHARE * sum(sizes.values()))
     heads = lines.groupBy(_folded_line(F.col("line")).alias("head")).agg(F.count(F.lit(1)).alias("n")).where((F.col("n") >= least) & (F.length("head") >= 10))
     out.heads = sorted((r["head"] for r in heads.collect()), key=len, reverse=True)  # at most lines of a record / HEAD_SHARE rows
+    capitals = F.regexp_extract("line", rf"\b(\p{{Lu}}{{{CAPITALS},}})(?:[\s·—|]+\d{{1,4}})?\s*$", 1)
+    ended = lines.groupBy(F.when(capitals != "", F.substring(_folded_line(capitals), -ENDING, ENDING)).alias("ending")).agg(F.count(F.lit(1)).alias("n"))
+    total = ended.agg(F.sum("n")).scalar()
+    often = ended.where(F.col("ending").isNotNull() & (F.col("n") >= HEAD_LEAST) & (F.col("n") >= ENDING_SHARE * total))
+    out.endings = {r["ending"] for r in often.select("ending").collect()}  # at most 1 / ENDING_SHARE rows
     return out
 
 
@@ -190,51 +261,71 @@ def _squeezed(text: str) -> tuple[str, list[int]]:
     return "".join(out), at
 
 
-def _near_head(line: str, heads: list[str]) -> bool:
+_NUMBERED = re.compile(rf"^\s*{_NUMBER}[\s·—|]+|[\s·—|]+{_NUMBER}\s*$")
+
+
+def _is_capital_head(word: str, corpus: Corpus) -> bool:
+    """Whether a word in capitals ends like the heads in capitals, up to one misread letter."""
+    end = fold(word)[-ENDING:]
+    return any(end == x or _distance(end, x, 1) <= 1 for x in corpus.endings) and sum(c.isalpha() for c in word) * 2 > len(word)
+
+
+def _near_head(line: str, corpus: Corpus) -> bool:
     """Whether a line, but for its page number, is a running head or a misread one."""
-    x = fold(re.sub(rf"^\s*{_NUMBER}[\s·—|]+|[\s·—|]+{_NUMBER}\s*$", "", line))
-    return any(x == h or (abs(len(x) - len(h)) <= 2 and _distance(x, h, len(h) // 8) <= len(h) // 8) for h in heads)
+    if line not in corpus._lines:
+        bare = _NUMBERED.sub("", line)
+        x = fold(bare)
+        near = any(x == h or _distance(x, h, len(h) // 8) <= len(h) // 8 for h in corpus.by_length.get(len(x), ()))
+        m = None if near else _CAPITALS.fullmatch(bare.strip())
+        if len(corpus._lines) > 500_000:
+            corpus._lines.clear()
+        corpus._lines[line] = near or bool(m and _is_capital_head(m[1], corpus))
+    return corpus._lines[line]
 
 
 def without_furniture(text: str, corpus: Corpus) -> tuple[str, bool]:
-    """The text without running heads and page numbers, and whether there were any."""
+    """The text without running heads and page numbers, and whether there were any.
+
+    A head is a line of its own, repeated over the corpus or in capitals that end like the repeated ones; inside a line
+    it must be a repeated one, or in such capitals beside a number.
+    """
     found = False
     lines = text.split("\n")
     if len(lines) > 1:
         kept = []
         for line in lines:
             bare = line.strip()
-            if bare and (_PAGE_LINE.fullmatch(bare) or (len(bare) < 90 and _near_head(bare, corpus.heads))):
+            if bare and (_PAGE_LINE.fullmatch(bare) or _near_head(bare, corpus)):
                 found = True
             else:
                 kept.append(line)
         text = "\n".join(kept)
     spans = [m.span() for m in _PAGE_INLINE.finditer(text)]
-    heads = [m.span() for m in _FAMILY.finditer(text)]
-    quick = text.lower().translate(_QUICK)
-    if any(h in quick for h in corpus.heads):
+    heads = []
+    if corpus.inside is not None and next(corpus.inside.iter(text.lower().translate(_QUICK)), None):
         squeezed, at = _squeezed(text)
-        for h in corpus.heads:
-            k = squeezed.find(h)
-            while k >= 0:
-                a, b = at[k], at[k + len(h) - 1] + 1
-                if not (a and text[a - 1].isalpha()) and not (b < len(text) and text[b].isalpha()):
-                    heads.append((a, b))
-                k = squeezed.find(h, k + 1)
-    for a, b in heads:
+        for end, h in corpus.inside.iter(squeezed):
+            a, b = at[end - len(h) + 1], at[end] + 1
+            if not (a and text[a - 1].isalpha()) and not (b < len(text) and text[b].isalpha()):
+                heads.append((a, b, False))
+    if corpus.endings:
+        heads += [(*m.span(), True) for m in _CAPITALS.finditer(text) if _is_capital_head(m[1], corpus)]
+    for a, b, capital in heads:
         before = _BEFORE.search(text, 0, a)
         after = _AFTER.match(text, b)
-        spans.append((before.start() if before else a, b if before or not after else after.end()))
-    if spans:
+        if before or after or not capital:
+            spans.append((before.start() if before else a, b if before or not after else after.end()))
+    end = len(text) + 1
+    for a, b in sorted(spans, reverse=True):
         found = True
-        for a, b in sorted(spans, reverse=True):
-            rest = text[b:]
-            text = text[:a] + rest if rest is not None else text
+        if b <= end:  # heads may lie inside one another
+            text, end = text[:a] + text[b:], a
     return text, found
 
 
 def _is_break(a: str, mark: str, gap: str, b: str, corpus: Corpus) -> bool:
-    """Whether the hyphen between a and b is that of a line end."""
+    """Whether the hyphen between a and b is that of a line end, by the corpus' words: it writes both as one word, or does
+    not know a part as a word of its own; never where it writes the compound, nor before a capital without that evidence."""
     x, y = a.lower(), b.lower()
     if a.isdigit() or not a or not any(c.isalpha() for c in a):
         return False
@@ -247,9 +338,11 @@ def _is_break(a: str, mark: str, gap: str, b: str, corpus: Corpus) -> bool:
     first, second = corpus.parts
     if f"{x}-{y}" in corpus.compounds or (x in first and (y in second or corpus.right_form(y, True) in second)) or (y in second and corpus.right_form(x, True) in first):
         return False
-    if y in SUSPENDED and x + y not in corpus.share:
+    if x + y in corpus.share:
+        return True
+    if y in SUSPENDED or not corpus.share or (b[0].isupper() and not a.isupper()):
         return False
-    return True
+    return x not in corpus.share or y not in corpus.share
 
 
 def joined(text: str, corpus: Corpus) -> tuple[str, bool]:
@@ -264,11 +357,9 @@ def joined(text: str, corpus: Corpus) -> tuple[str, bool]:
             return a + b
         return a + ("-" if mark == "-" or b else "") + (" " if gap and b.lower() in SUSPENDED else "" if b and gap and "\n" in gap else gap) + b
 
-    for _ in range(4):  # a word can be broken again
-        new = _HYPHEN.sub(put, text)
-        if new == text:
-            break
+    while len(new := _HYPHEN.sub(put, text)) < len(text):  # a word can be broken again
         text = new
+    text = new
     return re.sub(r"[ \t]*\r?\n\s*", " ", text), found
 
 
@@ -284,7 +375,7 @@ def repaired(text: str, corpus: Corpus, scanned_prose: bool) -> tuple[str, bool]
         w = m[0]
         if w.isdigit():
             return w
-        if any(c.isdigit() for c in w):
+        if not w.isalpha():
             number = w.translate(str.maketrans("oOlISBZbEgqGDQT", "001158268996007"))
             right = corpus.right_form(w, False)
             if right is None and not (number.isdigit() and len(w) > 1) and not any(c.islower() for c in w):

@@ -303,6 +303,21 @@ def test_scans(spark):
     assert scans.readable(df.where("false")).count() == 0
 
 
+def test_scans_keep_what_the_corpus_does_not_speak_against():
+    corpus = scans.Corpus(share={"vol": 0.01, "montes": 0.2, "bosque": 0.9}, lower={"montes": 1.0, "bosque": 0.9}, endings={"aceae"}, heads=["manuaideiafioradeiistmo"])
+    for c in (scans.Corpus(), corpus):
+        assert scans.without_furniture("Especie de la familia ROSACEAE con 12 géneros.", c) == ("Especie de la familia ROSACEAE con 12 géneros.", False)
+        assert scans.joined("de Puntarenas-\nGolfito", c) == ("de Puntarenas-Golfito", False)
+    assert scans.joined("Cenope-\njedea", scans.Corpus()) == ("Cenope-jedea", False)  # no corpus, no evidence
+    assert scans.joined("Cenope-\njedea y bos-\nque", corpus) == ("Cenopejedea y bosque", True)
+    assert scans.without_furniture("uno\nMIRVACEAE 77\ndos", corpus) == ("uno\ndos", True)
+    assert scans.without_furniture("uno 77 MIRVACEAE dos", corpus)[1] and not scans.without_furniture("uno MIRVACEAE dos", corpus)[1]
+    long = " ".join(["Manual de la Flora del Istmo"] * 5)  # heads of any length
+    assert scans.without_furniture(f"uno\n{long}\ndos", scans.Corpus(heads=[scans.fold(long)])) == ("uno\ndos", True)
+    broken = "a" + "-\nx" * 9  # a word broken many times
+    assert scans.joined(broken, scans.Corpus(share={"bosque": 1.0}))[0] == "a" + "x" * 9
+
+
 def test_matching(spark):
     cols = "id long, name string, auth string, syn array<string>, fam string"
     rng = random.Random(4)
