@@ -187,27 +187,6 @@ def top_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.orderBy(F.desc("score"), "vec_id").limit(10).select("vec_id", F.round("score", 6).alias("score"))
 
 
-@query(f"SELECT f.ficha_id, f.species, round(h.score, 6) AS score FROM {_HITS} h JOIN fichas f ON f.ficha_id = h.vec_id")
-def join_hydrate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records of the 25 best hits; hits without a record are dropped."""
-    hits = _similarity(table(spark, sf_dir, "embeddings"), _question(spark, sf_dir)).orderBy(F.desc("score"), "vec_id").limit(25).select(F.col("vec_id").alias("ficha_id"), "score")
-    return table(spark, sf_dir, "fichas").join(F.broadcast(hits), "ficha_id").select("ficha_id", "species", F.round("score", 6).alias("score"))
-
-
-_REL = f"""0.6 * greatest(0, least(2000, {_HI}) - greatest(1000, {_LO})) / greatest(1, {_HI} - {_LO}) + 0.3 * greatest(0, least(2000, {_HI}) - greatest(1000, {_LO})) / 1000.0 + 0.1 * h.score"""
-
-
-@query(f"""SELECT f.ficha_id, round({_REL}, 6) AS relevance FROM {_HITS} h JOIN fichas f ON f.ficha_id = h.vec_id
-WHERE {_LO} IS NOT NULL AND {_HI} IS NOT NULL AND least(2000, {_HI}) - greatest(1000, {_LO}) > 0""")
-def top_pattern_b(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Top 25 by vector, then the strict overlap, then the relevance: fewer than 25 rows may be left."""
-    lo, hi = effective_bounds()
-    a, b = F.lit(1000), F.lit(2000)
-    hits = _similarity(table(spark, sf_dir, "embeddings"), _question(spark, sf_dir)).orderBy(F.desc("score"), "vec_id").limit(25).select(F.col("vec_id").alias("ficha_id"), "score")
-    found = table(spark, sf_dir, "fichas").join(F.broadcast(hits), "ficha_id").where(bands.strictly_overlaps(lo, hi, a, b))
-    return found.select("ficha_id", F.round(bands.relevance(lo, hi, a, b, F.col("score")), 6).alias("relevance")).orderBy(F.desc("relevance"), "ficha_id")
-
-
 @query("""SELECT floor((lon + 86) / 0.05) AS col, floor((11.3 - lat) / 0.05) AS row, count(*) AS n, sum(CAST(((floor((lon + 86) / 0.05) * 37 + floor((11.3 - lat) / 0.05) * 53) % 3200) - 600 >= -500 AS INT)) AS with_value
 FROM points WHERE lon BETWEEN -86 AND -82.5 AND lat BETWEEN 7.9 AND 11.3 GROUP BY ALL""")
 def join_grid_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -336,13 +315,6 @@ def join_genus_family(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "fichas").select("ficha_id", "genus").join(families, "genus", "left").select("ficha_id", F.coalesce("fam", F.lit("sin familia")).alias("family"))
 
 
-@query("SELECT f.ficha_id, min(b.taxon_key) AS taxon_key, count(b.taxon_key) AS n_names FROM fichas f LEFT JOIN taxon_backbone b ON b.scientific_name = f.species GROUP BY f.ficha_id")
-def join_taxon_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The backbone's key of the exact name, null where there is none."""
-    names = table(spark, sf_dir, "taxon_backbone").groupBy(F.col("scientific_name").alias("species")).agg(F.min("taxon_key").alias("taxon_key"), F.count("taxon_key").alias("n"))
-    return table(spark, sf_dir, "fichas").select("ficha_id", "species").join(names, "species", "left").select("ficha_id", "taxon_key", F.coalesce("n", F.lit(0)).alias("n_names"))
-
-
 # ---------------------------------------------------------------- aggregates
 
 
@@ -435,14 +407,14 @@ def agg_iou_strata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.groupingSets([[F.col("endemic")], []], F.col("endemic")).agg(F.count(F.lit(1)).alias("n"), r(F.avg("iou"), "iou_mean"), r(F.median("iou"), "iou_median"), r(F.min("iou"), "iou_min"), r(F.max("iou"), "iou_max")).select("endemic", "n", "iou_mean", "iou_median", "iou_min", "iou_max")
 
 
-@query("""SELECT slice, count(*) AS n, min(width) AS width_min, max(width) AS width_max, round(avg(CAST(lower(trim(core_overlap)) = 'true' AS DOUBLE)), 6) AS core_overlap, round(median(iou), 6) AS iou_median
+@query("""SELECT slice, count(*) AS n, min(width) AS width_min, max(width) AS width_max, round(avg(CAST(lower(trim(median_in)) = 'true' AS DOUBLE)), 6) AS median_in, round(avg(CAST(lower(trim(core_overlap)) = 'true' AS DOUBLE)), 6) AS core_overlap, round(median(iou), 6) AS iou_median
 FROM (SELECT *, CAST(floor((4 * (row_number() OVER (ORDER BY width, species) - 1) + 3) / count(*) OVER ()) AS INT) + 1 AS slice FROM range_width) GROUP BY slice""")
 def agg_width_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quarters by position in the order of width, and their statistics."""
     placed = ordered.slices(table(spark, sf_dir, "range_width"), ["width", "species"], 4)
     return placed.groupBy("slice").agg(
         F.count(F.lit(1)).alias("n"), F.min("width").alias("width_min"), F.max("width").alias("width_max"),
-        F.round(F.avg((F.lower(F.trim("core_overlap")) == "true").cast("double")), 6).alias("core_overlap"), F.round(F.median("iou"), 6).alias("iou_median"),
+        *[F.round(F.avg((F.lower(F.trim(c)) == "true").cast("double")), 6).alias(c) for c in ("median_in", "core_overlap")], F.round(F.median("iou"), 6).alias("iou_median"),
     )
 
 
