@@ -67,3 +67,35 @@ def carried(df: DataFrame, part: str, order: str, state: Column, name: str) -> D
     """``name``: the last non-null state of the document up to each row."""
     w = Window.partitionBy(part).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumn(name, F.last(state, ignorenulls=True).over(w))
+
+
+def first_k_of(df: DataFrame, key: str, order: Sequence[str], k: int, salts: int = 64) -> DataFrame:
+    """The first ``k`` rows of each key, exactly: first of each (key, salt), so that no task sorts a whole hot key, then of
+    those that are left, at most salts * k rows a key. Null keys form a key."""
+    salted = df.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)))
+    part = Window.partitionBy(key, "_salt").orderBy(*order)
+    some = salted.withColumn("_rn", F.row_number().over(part)).where(F.col("_rn") <= k)
+    return some.withColumn("_rn", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("_rn") <= k).drop("_rn", "_salt")
+
+
+def running(df: DataFrame, part: str, order: Sequence[str], starts: Column | None = None, states: dict[str, Column] | None = None) -> DataFrame:
+    """``df`` with ``session``, how many starting rows the document had so far, and for each of ``states`` its last
+    non-null value up to the row; over documents of any length.
+
+    The table is range-partitioned and sorted once and written. Each partition counts for itself; what it starts from is
+    made of one row for each partition and document before it. A null ``part`` is a document.
+    """
+    states = states or {}
+    flag = F.coalesce(starts, F.lit(False)).cast("long") if starts is not None else F.lit(0).cast("long")
+    placed = cut(df.withColumns({"_start": flag, **{f"_s_{n}": c for n, c in states.items()}}).orderBy(F.col(part).asc_nulls_first(), *order).withColumn("_at", F.monotonically_increasing_id()))
+    placed = placed.withColumn("_pid", F.shiftright("_at", _IN_PART))
+    up_to = Window.partitionBy("_pid", part).orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    inner = placed.withColumn("_n", F.sum("_start").over(up_to))
+    for n in states:
+        inner = inner.withColumn(f"_l_{n}", F.last(f"_s_{n}", ignorenulls=True).over(up_to))
+    ends = placed.groupBy("_pid", part).agg(F.sum("_start").alias("_sum"), *[F.max_by(F.when(F.col(f"_s_{n}").isNotNull(), F.struct(F.col(f"_s_{n}").alias("v"))), F.when(F.col(f"_s_{n}").isNotNull(), F.col("_at"))).alias(f"_e_{n}") for n in states])
+    before = Window.partitionBy(part).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    carry = ends.select("_pid", F.col(part).alias("_part"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"), *[F.last(f"_e_{n}", ignorenulls=True).over(before).alias(f"_c_{n}") for n in states])
+    joined = inner.join(F.broadcast(carry), (inner["_pid"] == carry["_pid"]) & inner[part].eqNullSafe(carry["_part"]))
+    keep = [inner[c] for c in df.columns]
+    return joined.select(*keep, (F.col("_n") + F.col("_base")).alias("session"), *[F.coalesce(F.col(f"_l_{n}"), F.col(f"_c_{n}.v")).alias(n) for n in states])

@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from frondara.session import cut
+
 #: Mean Earth radius in metres.
 EARTH_M = 6_371_008.8
 #: Cells around the pivots of one level, places from which pivots are chosen, leaf size of the trees: speed only.
@@ -171,6 +173,15 @@ def inside_ring(x: np.ndarray, y: np.ndarray, ring: np.ndarray) -> np.ndarray:
     return odd
 
 
+def on_edge(x: np.ndarray, y: np.ndarray, ring: np.ndarray) -> np.ndarray:
+    """Whether a point lies on an edge of the ring, corners included."""
+    out = np.zeros(len(x), bool)
+    for (x1, y1), (x2, y2) in zip(ring[:-1], ring[1:]):
+        between = (np.minimum(x1, x2) <= x) & (x <= np.maximum(x1, x2)) & (np.minimum(y1, y2) <= y) & (y <= np.maximum(y1, y2))
+        out |= between & ((x2 - x1) * (y - y1) == (y2 - y1) * (x - x1))
+    return out
+
+
 def circumscribed(ring: np.ndarray) -> tuple[float, float, float]:
     """Centre of a ring and a radius in metres that surely covers it."""
     cx, cy = ring.mean(axis=0)
@@ -181,7 +192,8 @@ def circumscribed(ring: np.ndarray) -> tuple[float, float, float]:
 class CellIndex:
     """One vantage-point tree per Voronoi cell, over the places copied to it; or one tree of the places of one cell."""
 
-    def __init__(self, places: pd.DataFrame, cells: Cells | None):
+    def __init__(self, places: pd.DataFrame, cells: Cells | None, edges: bool = False):
+        self.edges = edges
         self.places = places.reset_index(drop=True)
         self.cells = cells
         lon, lat, reach = (self.places[c].to_numpy(float) for c in ("lon", "lat", "reach_m"))
@@ -213,6 +225,8 @@ class CellIndex:
                 if self.ring[place] is not None:
                     m = np.flatnonzero(b == place)
                     keep[m] = inside_ring(lon[a[m]], lat[a[m]], self.ring[place])
+                    if self.edges:
+                        keep[m] |= on_edge(lon[a[m]], lat[a[m]], self.ring[place])
             points.append(a[keep])
             places.append(b[keep])
         return np.concatenate(points), np.concatenate(places)
@@ -232,8 +246,9 @@ def _xy(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def reach_join(
-    points: DataFrame, places: DataFrame, keep: Sequence[str] = ("point_id",), index_rows: int = INDEX_ROWS, cell_rows: int = CELL_ROWS, cell_places: int = CELL_PLACES
-) -> DataFrame:
+    points: DataFrame, places: DataFrame, keep: Sequence[str] = ("point_id",), index_rows: int = INDEX_ROWS, cell_rows: int = CELL_ROWS, cell_places: int = CELL_PLACES,
+    how: str = "inner", edges: bool = False,
+) -> DataFrame:
     """The columns ``keep`` of points with ``place_id``, for every point within a place's reach or region.
 
     points: ``keep``, ``lon``, ``lat``. places: ``place_id``, ``lon``, ``lat``, ``reach_m`` and ``ring`` (an array of
@@ -242,9 +257,16 @@ def reach_join(
     ``index_rows`` places the index goes with the tasks and nothing is shuffled; beyond, both sides are shuffled by
     cell, and a cell over ``cell_rows`` points or ``cell_places`` places (as where a third of the rows share one
     position) is joined block by block. Pivots are chosen from PIVOT_SAMPLE places; every place is indexed.
+
+    how: ``left`` keeps points without a place, with a null ``place_id``; such points may have any coordinates. edges:
+    whether a point on the edge of a region lies in all regions that share it; otherwise it lies in one or none.
     """
     spark = points.sparkSession
     keep = list(keep)
+    if how == "left":
+        marked = cut(points.select(*keep, "lon", "lat").withColumn("_rid", F.monotonically_increasing_id()))
+        pairs = reach_join(marked.select("_rid", "lon", "lat"), places, ["_rid"], index_rows, cell_rows, cell_places, edges=edges)
+        return marked.select(*keep, "_rid").join(pairs.hint("merge"), "_rid", "left").drop("_rid")
     lon, lat = F.col("lon").cast("double"), F.col("lat").cast("double")
     points = points.where(lon.isNotNull() & lat.isNotNull() & ~F.isnan(lon) & ~F.isnan(lat)).select(*keep, lon.alias("_x"), lat.alias("_y"))
     places = places.select("place_id", lon.alias("lon"), lat.alias("lat"), F.col("reach_m").cast("double").alias("reach_m"), "ring")
@@ -254,7 +276,7 @@ def reach_join(
     n_places, corners = places.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size(F.coalesce("ring", F.array()))), F.lit(0))).first()
     if n_places <= index_rows and corners <= INDEX_CORNERS:
         sample = _ready(places.toPandas())
-        index = spark.sparkContext.broadcast(CellIndex(sample, Cells(sample["lon"].to_numpy(float), sample["lat"].to_numpy(float))))
+        index = spark.sparkContext.broadcast(CellIndex(sample, Cells(sample["lon"].to_numpy(float), sample["lat"].to_numpy(float)), edges))
 
         def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             ix = index.value
@@ -301,7 +323,7 @@ def reach_join(
     def join(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return a[keep].head(0).assign(place_id=b["place_id"].head(0))
-        ix = CellIndex(b, None)
+        ix = CellIndex(b, None, edges)
         i, j = ix.match(*_xy(a))
         return a[keep].iloc[i].reset_index(drop=True).assign(place_id=ix.places["place_id"].to_numpy()[j])
 

@@ -187,16 +187,6 @@ def top_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.orderBy(F.desc("score"), "vec_id").limit(10).select("vec_id", F.round("score", 6).alias("score"))
 
 
-@query("""SELECT floor((lon + 86) / 0.05) AS col, floor((11.3 - lat) / 0.05) AS row, count(*) AS n, sum(CAST(((floor((lon + 86) / 0.05) * 37 + floor((11.3 - lat) / 0.05) * 53) % 3200) - 600 >= -500 AS INT)) AS with_value
-FROM points WHERE lon BETWEEN -86 AND -82.5 AND lat BETWEEN 7.9 AND 11.3 GROUP BY ALL""")
-def join_grid_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Points joined with a raster of cells by row and column; values under -500 are no data."""
-    grid = spark.range(70 * 68).select((F.col("id") % 70).alias("col"), F.floor(F.col("id") / 70).alias("row")).withColumn("value", (F.col("col") * 37 + F.col("row") * 53) % 3200 - 600)
-    points = table(spark, sf_dir, "points").where(in_box(F.col("lon"), F.col("lat"))).select(F.floor((F.col("lon") + 86) / 0.05).alias("col"), F.floor((11.3 - F.col("lat")) / 0.05).alias("row"))
-    cells = points.groupBy("col", "row").agg(F.count(F.lit(1)).alias("n"))  # aggregated before the join
-    value = F.when(F.col("value") >= -500, F.col("value"))
-    return cells.join(F.broadcast(grid), ["col", "row"], "left").select("col", "row", "n", F.when(value.isNotNull(), F.col("n")).otherwise(0).alias("with_value"))
-
 
 @query("""SELECT r.ref_id, g.gaz_id, g.target_shapefile, g.target_attribute, g.target_value FROM entity_refs r JOIN gazetteer g
 ON translate(lower(r.canonical_name), 'áéíóúüñ', 'aeiouun') = translate(lower(g.canonical_name), 'áéíóúüñ', 'aeiouun') AND r.hierarchy_level = g.hierarchy_level""")
@@ -301,12 +291,6 @@ def join_new_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen.join(fichas.select("species"), "species", "left_semi").join(named, ["species", "nombre"], "left_anti").select("species", "nombre", "n")
 
 
-@query(f"""SELECT region_id FROM region_polygons r WHERE EXISTS (SELECT 1 FROM points p WHERE p.nombre = r.nombre AND {_ALT} AND p.altitud BETWEEN 2000 AND 2500)""")
-def join_semi_band(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Regions with a point in the band."""
-    inside = table(spark, sf_dir, "points").where(_usable() & F.col("altitud").between(2000, 2500)).select("nombre").distinct()
-    return table(spark, sf_dir, "region_polygons").join(inside, "nombre", "left_semi").select("region_id")
-
 
 @query("SELECT f.ficha_id, coalesce(g.fam, 'sin familia') AS family FROM fichas f LEFT JOIN (SELECT genus, min(family) AS fam FROM raw_fichas WHERE family IS NOT NULL GROUP BY genus) g USING (genus)")
 def join_genus_family(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -473,11 +457,6 @@ def win_slope_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordered.carried(clauses, "raw_id", "pos", mark, "slope").select("raw_id", "pos", "clause", "slope")
 
 
-@query("SELECT species, count(*) AS kept FROM (SELECT species, row_number() OVER (PARTITION BY species ORDER BY observed_at NULLS LAST, point_id, loaded_at) AS rn FROM points WHERE species IS NOT NULL) WHERE rn <= 900 GROUP BY species")
-def win_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many of a species' points the report keeps, 900 at most; counts suffice, so no group is sorted."""
-    return table(spark, sf_dir, "points").where("species IS NOT NULL").groupBy("species").agg(F.least(F.count(F.lit(1)), F.lit(900)).alias("kept"))
-
 
 def _superlative_sql(value: str, desc: str) -> str:
     return f"SELECT ficha_id, species, family, CAST({value} AS BIGINT) AS value, (SELECT count(*) FROM fichas) AS n_candidates FROM fichas WHERE {value} IS NOT NULL ORDER BY {value} {desc}, ficha_id LIMIT 1"
