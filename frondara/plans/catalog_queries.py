@@ -114,38 +114,6 @@ def filter_named_species(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "raw_fichas").where(F.col("distribution_paragraph").isNotNull() & ~F.contains("species", F.lit(" sp. ")) & F.col("distribution_paragraph").rlike(r"\d+ m")).select("raw_id", "species")
 
 
-_KINDS = """CASE WHEN regexp_matches(block, '^[A-Z][a-z]+ [a-z]{3,}') AND regexp_matches(substr(block, 1, 140), '\\d{1,3}(\\(\\d+\\))?:\\s*\\d{1,4}') AND regexp_matches(substr(block, 1, 140), '(1[6789]\\d\\d|20\\d\\d)') THEN 'header'
-WHEN regexp_matches(block, '^(Bosque|Sabana|Manglar|Páramo|Charral|Vegetaci|Matorral|Pastizal)') AND regexp_matches(block, 'verts?\\.|END[ÉE]MIC') THEN 'distribution'
-WHEN regexp_matches(block, '^\\d+\\s+Manual de') THEN 'furniture' WHEN regexp_matches(block, '^\\d{1,2}\\s+\\S') OR regexp_matches(block, '\\.\\s\\.\\s\\.|\\.{4,}') THEN 'key'
-WHEN regexp_matches(block, '^(Arbusto|Árbol|Arbol|Hierba|Bejuco|Liana|Epífit|Hemiep|Sufrút|Planta|Hojas)') THEN 'morphology' ELSE 'other' END"""
-_BLOCKS = """(SELECT raw_id, seq, block FROM (SELECT raw_id, unnest(range(4)) AS seq, unnest([header_block, morphology, distribution_paragraph, discussion]) AS block FROM raw_fichas) WHERE block IS NOT NULL)"""
-
-
-def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(raw_id, seq, block): the text blocks of each entry in reading order."""
-    return table(spark, sf_dir, "raw_fichas").select("raw_id", F.posexplode(F.array("header_block", "morphology", "distribution_paragraph", "discussion")).alias("seq", "block")).where(F.col("block").isNotNull())
-
-
-def block_kind(block: Column) -> Column:
-    """Header, distribution, furniture, key, morphology or other."""
-    front = F.substring(block, 1, 140)
-    header = block.rlike(r"^[A-Z][a-z]+ [a-z]{3,}") & front.rlike(r"\d{1,3}(\(\d+\))?:\s*\d{1,4}") & front.rlike(r"(1[6789]\d\d|20\d\d)")
-    return (
-        F.when(header, "header")
-        .when(block.rlike("^(Bosque|Sabana|Manglar|Páramo|Charral|Vegetaci|Matorral|Pastizal)") & block.rlike(r"verts?\.|END[ÉE]MIC"), "distribution")
-        .when(block.rlike(r"^\d+\s+Manual de"), "furniture")
-        .when(block.rlike(r"^\d{1,2}\s+\S") | block.rlike(r"\.\s\.\s\.|\.{4,}"), "key")
-        .when(block.rlike("^(Arbusto|Árbol|Arbol|Hierba|Bejuco|Liana|Epífit|Hemiep|Sufrút|Planta|Hojas)"), "morphology")
-        .otherwise("other")
-    )
-
-
-@query(f"SELECT raw_id, seq, {_KINDS} AS kind FROM {_BLOCKS}")
-def filter_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The kind of every text block."""
-    return blocks(spark, sf_dir).select("raw_id", "seq", block_kind(F.col("block")).alias("kind"))
-
-
 @query("""SELECT item_id, first(name ORDER BY pos) AS species FROM (SELECT item_id, unnest(l) AS name, unnest(range(len(l))) AS pos
 FROM (SELECT item_id, regexp_extract_all(q, '[A-Z][a-z]+ [a-z]{3,}') AS l FROM eval_items)) WHERE name IN (SELECT species FROM fichas) GROUP BY item_id""")
 def filter_detected_species(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -437,14 +405,6 @@ def win_best_of_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordered.best_of(table(spark, sf_dir, "raw_fichas").select("species", "raw_id", "distribution_paragraph", "n_blocks"), ["species"], order).select("species", "raw_id")
 
 
-@query(f"""SELECT volume, page, raw_id, seq, sum(CAST(kind = 'header' AS INT)) OVER (PARTITION BY volume, page ORDER BY raw_id, seq) AS session
-FROM (SELECT b.raw_id, b.seq, r.volume, r.page, {_KINDS} AS kind FROM {_BLOCKS} b JOIN raw_fichas r USING (raw_id))""")
-def win_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entries of each page: a header starts one, and what follows belongs to it."""
-    pages = table(spark, sf_dir, "raw_fichas").select("raw_id", "volume", "page", F.posexplode(F.array("header_block", "morphology", "distribution_paragraph", "discussion")).alias("seq", "block")).where(F.col("block").isNotNull())
-    w = Window.partitionBy("volume", "page").orderBy("raw_id", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    return pages.select("volume", "page", "raw_id", "seq", F.sum((block_kind(F.col("block")) == "header").cast("int")).over(w).alias("session"))
-
 
 @query("""SELECT raw_id, pos, clause, last_value(mark IGNORE NULLS) OVER (PARTITION BY raw_id ORDER BY pos) AS slope FROM (SELECT raw_id, pos, clause,
 CASE WHEN regexp_matches(clause, '(?i)^ambas\\s+verts?') THEN 'ambas' WHEN regexp_matches(clause, '(?i)^vert\\.?\\s+carib') THEN 'Caribe' WHEN regexp_matches(clause, '(?i)^vert\\.?\\s+pac') THEN 'Pacífico' END AS mark
