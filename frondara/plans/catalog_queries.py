@@ -472,11 +472,12 @@ def set_union_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _T = "distribution_paragraph"
-_BAND = "(?:\\((\\d{1,4})\\s*[—–-]\\s*\\))?(\\d{1,4})\\s*[—–-]\\s*(\\d{1,4})\\+?-?-?(?:\\s*\\([—–-]?\\s*(\\d{1,4})\\+?\\s*\\))?\\s*m\\b"
+_COMPACT = "regexp_replace(regexp_replace(translate({}, '—‒-+', '–––'), '–{{2,}}', '–', 'g'), '\\s*([–()])\\s*', '\\1', 'g')"
+_BAND = "(\\((\\d{1,4})–\\))?(\\d{1,4})–(\\d{1,4})–?(\\(–?(\\d{1,4})\\))?\\s*m\\b"
 
 
 def _g(k: int) -> str:
-    return f"TRY_CAST(nullif(regexp_extract({_T}, '(?i){_BAND}', {k}), '') AS INT)"
+    return f"TRY_CAST(nullif(regexp_extract({_COMPACT.format(_T)}, '{_BAND}', {(2, 3, 4, 6)[k - 1]}), '') AS INT)"
 
 
 @query(f"""SELECT raw_id, CASE WHEN {_g(2)} IS NOT NULL THEN {_g(2)} ELSE ca END AS lo, CASE WHEN {_g(2)} IS NOT NULL THEN {_g(3)} ELSE ca END AS hi, {_g(1)} AS outlier_lo, {_g(4)} AS outlier_hi
@@ -490,7 +491,7 @@ def _rx(pattern: str) -> str:
     return pattern.replace("'", "''")
 
 
-@query("SELECT dist_id, list_filter([" + ", ".join(f"CASE WHEN regexp_matches({'habitat_raw' if k == 'muy húmedo' else 'rest'}, '(?i){_rx(p)}') THEN '{k}' END" for k, p in es.FORESTS.items()) + "], lambda x: x IS NOT NULL) AS forests FROM (SELECT *, regexp_replace(habitat_raw, '(?i)muy\\s+h[úu]medo', ' ', 'g') AS rest FROM distribution_fichas)")
+@query("SELECT dist_id, list_filter([" + ", ".join(f"CASE WHEN regexp_matches({'clause' if k == 'muy húmedo' else 'rest'}, '(?i){_rx(p)}') THEN '{k}' END" for k, p in es.FORESTS.items()) + "], lambda x: x IS NOT NULL) AS forests FROM (SELECT *, regexp_replace(clause, '(?i)muy\\s+h[úu]medo', ' ', 'g') AS rest FROM (SELECT *, CASE WHEN regexp_matches(habitat_raw, '(?i)bosque([^\\p{L}\\p{N}]|$)') THEN regexp_extract(habitat_raw, '(?i)bosque([^\\p{L}\\p{N}][^\\d]*|$)', 1) ELSE split_part(habitat_raw, ';', 1) END AS clause FROM distribution_fichas))")
 def text_forest_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Forest types of each habitat text."""
     return table(spark, sf_dir, "distribution_fichas").select("dist_id", es.forest_types(F.col("habitat_raw")).alias("forests"))
@@ -502,10 +503,25 @@ def text_slopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "raw_fichas").select("raw_id", es.slopes(F.col(_T)).alias("slopes"), es.is_endemic(F.col(_T)).alias("endemic"))
 
 
-@query("SELECT raw_id, list_filter([" + ", ".join(f"CASE WHEN regexp_matches(substr(coalesce(morphology, genus_description), 1, 160), '(?i){_rx(p)}') THEN '{k}' END" for k, p in es.HABITS.items()) + "], lambda x: x IS NOT NULL) AS habits FROM raw_fichas")
+_HAB = lambda c: "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(substr({c}, 1, 160), '(?i){_rx(p)}') THEN '{k}' END" for k, p in es.HABITS.items()) + "], lambda x: x IS NOT NULL)"
+
+
+@query(f"""SELECT raw_id, CASE WHEN family = 'Arecaceae' AND NOT list_contains(h, 'palma') THEN list_concat(['palma'], h) ELSE h END AS habits FROM (
+SELECT raw_id, family, CASE WHEN len({_HAB("coalesce(morphology, '')")}) > 0 THEN {_HAB("coalesce(morphology, '')")} ELSE {_HAB("coalesce(genus_description, '')")} END AS h FROM raw_fichas)""")
 def text_habits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Growth forms told by the description, else by the genus' description."""
-    return table(spark, sf_dir, "raw_fichas").select("raw_id", es.habits(F.coalesce("morphology", "genus_description")).alias("habits"))
+    """Growth forms told by the description, else by the genus' description; a family's own form always."""
+    return table(spark, sf_dir, "raw_fichas").select("raw_id", es.entry_habits(F.col("morphology"), F.col("genus_description"), F.col("family")).alias("habits"))
+
+
+_LABEL = """CASE WHEN lo IS NULL OR hi IS NULL THEN 'elevación no disponible' ELSE lo || '–' || hi || ' m' || CASE WHEN olo IS NULL AND ohi IS NULL THEN '' ELSE '  (atípicos — ' ||
+concat_ws(', ', CASE WHEN olo IS NOT NULL THEN 'inf: ' || olo || '–' || lo || ' m' END, CASE WHEN ohi IS NOT NULL THEN 'sup: ' || hi || '–' || ohi || ' m' END) || ')' END END"""
+
+
+@query(f"SELECT dist_id, {_LABEL} AS label FROM (SELECT dist_id, CAST(elevation.min_m AS INT) AS lo, CAST(elevation.max_m AS INT) AS hi, CAST(elevation.outlier_min_m AS INT) AS olo, CAST(elevation.outlier_max_m AS INT) AS ohi FROM distribution_fichas)")
+def text_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The elevation of each distribution in words."""
+    e = [F.col(f"elevation.{c}") for c in ("min_m", "max_m", "outlier_min_m", "outlier_max_m")]
+    return table(spark, sf_dir, "distribution_fichas").select("dist_id", es.elevation_label(*e).alias("label"))
 
 
 @query(f"SELECT raw_id, trim(regexp_extract({_T}, '(?s)^(.*?m)\\s*;', 1)) AS habitat, trim(regexp_replace(regexp_replace({_T}, '(?s)^.*?m\\s*;', ''), '(?s)(\\bFls?\\.\\s|\\bFr\\.\\s).*$', '')) AS geo FROM raw_fichas")
@@ -514,7 +530,17 @@ def text_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "raw_fichas").select("raw_id", es.habitat_part(F.col(_T)).alias("habitat"), es.geographic_part(F.col(_T)).alias("geo"))
 
 
-@query()
+def _months_sql(marker: str) -> str:
+    part = f"regexp_extract({_T}, '{marker}\\.?\\s*([a-z][a-z.,–\\-\\s]*)', 1)"
+    names = "|".join(es.MONTHS)
+    number = "(CASE {} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in es.MONTHS.items()) + " END)"
+    one = f"list_transform(regexp_extract_all({part}, '\\b({names})\\b', 1), lambda m: {number.format('m')})"
+    a, b = number.format("substr(r, 1, 3)"), number.format("right(r, 3)")
+    span = f"list_transform(regexp_extract_all({part}, '\\b(?:{names})\\.?\\s*[–-]\\s*(?:{names})\\b'), lambda r: list_filter(range(1, 13), lambda k: CASE WHEN {a} <= {b} THEN k BETWEEN {a} AND {b} ELSE k >= {a} OR k <= {b} END))"
+    return f"coalesce(list_sort(list_distinct(list_concat({one}, flatten({span})))), [])"
+
+
+@query(f"SELECT raw_id, {_months_sql('Fl')} AS flowering, {_months_sql('Fr')} AS fruiting FROM raw_fichas")
 def text_months(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flowering and fruiting months of each distribution text."""
     return table(spark, sf_dir, "raw_fichas").select("raw_id", es.months(F.col(_T)).alias("flowering"), es.months(F.col(_T), "Fr").alias("fruiting"))
@@ -600,7 +626,8 @@ def comp_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(pts, "species", "left").select("ficha_id", "species", n.alias("n_points"), (n < 5).alias("few"))
 
 
-@query()
+@query(f"""SELECT DISTINCT dist_id, layer, feature, source FROM (SELECT e.dist_id, j.target_shapefile AS layer, j.target_value AS feature, 'named' AS source FROM ({ORACLE['join_entity_feature']}) j JOIN entity_refs e USING (ref_id)
+UNION ALL SELECT d.dist_id, 'regiones_botanicas', n.nombre, 'inferred' FROM distribution_fichas d JOIN ({ORACLE['join_new_regions']}) n USING (species))""")
 def comp_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Map layers of each distribution as (dist_id, layer, feature, source): named features and inferred regions."""
     named = join_entity_feature(spark, sf_dir).join(table(spark, sf_dir, "entity_refs").select("ref_id", "dist_id"), "ref_id").select("dist_id", F.col("target_shapefile").alias("layer"), F.col("target_value").alias("feature"), F.lit("named").alias("source"))
@@ -608,7 +635,15 @@ def comp_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.unionByName(inferred).distinct()
 
 
-@query()
+_CLEAN_RAW = """raw_fichas AS (SELECT * REPLACE (regexp_replace(regexp_replace(regexp_replace(distribution_paragraph, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]', '', 'g'), '(\\p{L})-\\s*\\r?\\n\\s*(\\p{L})', '\\1\\2', 'g'), '\\s*\\r?\\n\\s*', ' ', 'g') AS distribution_paragraph)
+FROM main.raw_fichas WHERE distribution_paragraph IS NOT NULL)"""
+_CATALOG_FORESTS = ORACLE["text_forest_types"].replace("dist_id", "raw_id").replace("distribution_fichas", f"(SELECT raw_id, trim(regexp_extract({_T}, '(?s)^(.*?m)\\s*;', 1)) AS habitat_raw FROM raw_fichas)")
+
+
+@query(f"""WITH {_CLEAN_RAW} SELECT replace(r.species, ' ', '_') AS vector_id, r.species, r.authority, r.genus, r.family, r.volume, r.page AS page_index, e.lo AS elev_min, e.hi AS elev_max, e.outlier_lo AS elev_outlier_min, e.outlier_hi AS elev_outlier_max,
+s.slopes AS vertientes, f.forests AS forest_types, h.habits, s.endemic AS endemic_cr, m.flowering AS flowering_months, m.fruiting AS fruiting_months
+FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY species ORDER BY n_blocks DESC NULLS LAST, raw_id) AS rn FROM raw_fichas) WHERE rn = 1) r
+JOIN ({ORACLE['text_elevation']}) e USING (raw_id) JOIN ({ORACLE['text_slopes']}) s USING (raw_id) JOIN ({_CATALOG_FORESTS}) f USING (raw_id) JOIN ({ORACLE['text_habits']}) h USING (raw_id) JOIN ({ORACLE['text_months']}) m USING (raw_id)""")
 def comp_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The catalogue built from raw entries: richest entry of each species, its text parsed into typed fields."""
     order = [F.col("distribution_paragraph").isNotNull().desc(), F.col("n_blocks").desc_nulls_last(), F.col("raw_id")]
@@ -618,6 +653,6 @@ def comp_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw.select(
         F.regexp_replace("species", " ", "_").alias("vector_id"), "species", "authority", "genus", "family", "volume", F.col("page").alias("page_index"),
         e["lo"].alias("elev_min"), e["hi"].alias("elev_max"), e["outlier_lo"].alias("elev_outlier_min"), e["outlier_hi"].alias("elev_outlier_max"),
-        es.slopes(text).alias("vertientes"), es.forest_types(habitat).alias("forest_types"), es.habits(F.coalesce("morphology", "genus_description")).alias("habits"),
+        es.slopes(text).alias("vertientes"), es.forest_types(habitat).alias("forest_types"), es.entry_habits(F.col("morphology"), F.col("genus_description"), F.col("family")).alias("habits"),
         es.is_endemic(text).alias("endemic_cr"), es.months(text).alias("flowering_months"), es.months(text, "Fr").alias("fruiting_months"),
     )
