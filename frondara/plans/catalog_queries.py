@@ -200,46 +200,11 @@ def join_longest_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrase_matches(texts, aliases(spark, sf_dir), "raw_id", "text", longest=True)
 
 
-_TOKENS = "(SELECT DISTINCT translate(lower(source_span), 'áéíóúüñÁÉÍÓÚÜÑ', 'aeiouunaeiouun') AS t FROM entity_refs WHERE length(source_span) >= 8)"
-_NAMES = "(SELECT DISTINCT translate(lower(canonical_name), 'áéíóúüñ', 'aeiouun') AS c FROM gazetteer)"
 
 
-@query(f"SELECT t AS token, min(d)::INT AS distance, arg_min(c, (d, c)) AS name FROM (SELECT t, c, levenshtein(t, c) AS d FROM {_TOKENS} x JOIN {_NAMES} y ON abs(length(t) - length(c)) <= 2 AND (split_part(t, ' ', 1) = split_part(c, ' ', 1) OR split_part(t, ' ', -1) = split_part(c, ' ', -1))) WHERE d <= 2 GROUP BY t")
-def join_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nearest name of each token within two edits, of those that share its first or last word; the first of equal ones."""
-    tokens = table(spark, sf_dir, "entity_refs").where(F.length("source_span") >= 8).select(es.without_accents(F.lower("source_span")).alias("token")).distinct()
-    names = table(spark, sf_dir, "gazetteer").select(es.without_accents(F.lower("canonical_name")).alias("name")).distinct()
-
-    def keyed(df: DataFrame, c: str) -> DataFrame:
-        words = F.split(c, " ")
-        return df.withColumn("key", F.explode(F.array_distinct(F.array(F.concat(F.lit("f"), words[0]), F.concat(F.lit("l"), F.element_at(words, -1))))))
-
-    pairs = keyed(tokens, "token").join(broadcast_if_small(keyed(names, "name")), "key").where(F.abs(F.length("token") - F.length("name")) <= 2)
-    pairs = pairs.withColumn("distance", F.levenshtein("token", "name", 2)).where("distance >= 0")
-    return pairs.groupBy("token").agg(F.min("distance").alias("distance"), F.min_by("name", F.struct("distance", "name")).alias("name"))
-
 
 _SPAN = "translate(lower(source_span), 'áéíóúüñÁÉÍÓÚÜÑ', 'aeiouunaeiouun')"
-_LOC = "(SELECT locality_id, translate(lower(name), 'áéíóúüñ', 'aeiouun') AS name FROM localities WHERE name IS NOT NULL)"
-
-
-@query(f"""SELECT ref_id, locality_id, tier FROM (SELECT ref_id, locality_id, tier, row_number() OVER (PARTITION BY ref_id ORDER BY tier, length(name), locality_id) AS rn FROM (
-SELECT r.ref_id, l.locality_id, l.name, CASE WHEN r.s = l.name THEN 1 WHEN contains(' ' || r.s || ' ', ' ' || l.name || ' ') THEN 2 WHEN list_has_all(string_split(r.s, ' '), string_split(l.name, ' ')) THEN 3
-WHEN list_contains(string_split(r.s, ' '), split_part(l.name, ' ', -1)) THEN 4 END AS tier FROM (SELECT ref_id, {_SPAN} AS s FROM entity_refs WHERE source_span IS NOT NULL) r JOIN {_LOC} l ON list_contains(string_split(r.s, ' '), split_part(l.name, ' ', -1)))) WHERE rn = 1""")
-def join_locality_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best locality of a typed place: equal, contained, all words, last word; then the shortest name, the lowest id."""
-    fold = lambda c: es.without_accents(F.lower(c))
-    spans = table(spark, sf_dir, "entity_refs").where(F.col("source_span").isNotNull()).select("ref_id", fold("source_span").alias("s"))
-    spans = spans.withColumn("key", F.explode(F.array_distinct(F.split("s", " "))))
-    names = table(spark, sf_dir, "localities").where(F.col("name").isNotNull()).select("locality_id", fold("name").alias("name")).withColumn("key", F.element_at(F.split("name", " "), -1))
-    pairs = spans.join(broadcast_if_small(names), "key")
-    blank = F.lit(" ")
-    tier = (
-        F.when(F.col("s") == F.col("name"), 1).when(F.contains(F.concat(blank, "s", blank), F.concat(blank, "name", blank)), 2)
-        .when(F.size(F.array_except(F.split("name", " "), F.split("s", " "))) == 0, 3).otherwise(4)
-    )
-    best = pairs.groupBy("ref_id").agg(F.min(F.struct(tier.alias("tier"), F.length("name").alias("n"), "locality_id")).alias("b"))
-    return best.select("ref_id", "b.locality_id", "b.tier")
+
 
 
 @query("SELECT f.ficha_id, coalesce(c.n, 0) AS n_points FROM fichas f LEFT JOIN (SELECT species, count(*) AS n FROM points WHERE species IS NOT NULL GROUP BY species) c USING (species)")
@@ -564,13 +529,6 @@ def text_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "localities").select("locality_id", es.listed(F.col("description")).alias("parts"))
 
 
-@query()
-def text_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Places of each distribution text as rows: slope in force, kind, name, qualifier; brackets hold clauses together."""
-    from frondara.functions.places import occurrences
-
-    return occurrences(table(spark, sf_dir, "raw_fichas").select("raw_id", es.geographic_part(F.col(_T)).alias("text")), "raw_id", "text")
-
 
 @query("""SELECT ficha_id, elev_ok, slope_ok, endem_ok FROM (SELECT f.ficha_id, CASE WHEN len(b) > 0 THEN list_bool_and(list_transform(b, lambda v: list_contains(nums, CAST(v AS VARCHAR)))) END AS elev_ok,
 CASE WHEN len(f.vertientes) > 0 THEN regexp_matches(t, '(?i)ambas\\s+verts?\\.?') OR list_bool_and(list_transform(f.vertientes, lambda v: CASE WHEN starts_with(v, 'Carib') THEN regexp_matches(t, '(?i)vert\\w*\\.?\\s*carib|carib(e|ena|eno)\\b') ELSE regexp_matches(t, '(?i)vert\\w*\\.?\\s*pac|pacif(ico|ica)\\b') END)) END AS slope_ok,
