@@ -19,7 +19,16 @@ def test_readers(spark, tmp_path):
     for n in ("01 Araceae.pdf", "02 index.pdf"):
         (tmp_path / "f" / n).write_text("x")
     assert [r.family for r in readers.corpus_files(spark, str(tmp_path / "f")).collect()] == ["Araceae"]
-    b = spark.createDataFrame([(1, 0.0, 500.0, "b " * 30, 800.0), (1, 0.0, 200.0, "a " * 30, 800.0), (1, 0.0, 50.0, "head", 800.0)], "page int, x0 double, y0 double, text string, page_height double")
+    import zipfile
+
+    with zipfile.ZipFile(tmp_path / "s.zip", "w") as z:
+        z.writestr("occ.csv", "id\tspecies\n1\tA b\n2\n3\tC d\n4\t\n")
+    assert sorted(str(r.species) for r in readers.snapshot_species(spark, str(tmp_path / "s.zip")).collect()) == ["A b", "C d", "None"]
+    (tmp_path / "Vol VI").mkdir()
+    for n in ("01 MelaTococa.pdf", "MPCRv6 x.pdf", "03 z1mpcr.pdf"):
+        (tmp_path / "Vol VI" / n).write_text("x")
+    assert [(r.family, r.volume) for r in readers.corpus_files(spark, str(tmp_path / "Vol VI")).collect()] == [("Melastomataceae", "VI"), ("Vol VI", "VI")]
+    b = spark.createDataFrame([(1, 0.0, 500.0, "b " * 30, 800.0), (1, 0.0, 200.0, "a " * 30, 800.0), (1, 0.0, 50.0, "head", 800.0), (1, 0.0, 300.0, "12 Manual de Plantas " + "x" * 40, 800.0)], "page int, x0 double, y0 double, text string, page_height double")
     assert [r.text[0] for r in readers.reading_order(b).orderBy("seq").collect()] == ["a", "b"]
 
 
@@ -46,3 +55,20 @@ def test_stream_equals_batch(spark, tmp_path):
     q.stop()
     assert spark.table("daily").exceptAll(daily_counts(points)).count() == 0
     assert spark.table("daily").agg(F.sum("n")).first()[0] == daily_counts(points).agg(F.sum("n")).first()[0]
+
+
+def test_caches_and_incremental_rows(spark, tmp_path):
+    points = spark.read.parquet(POINTS).where("species IS NOT NULL")
+    one = points.select("species").first()[0]
+    writers.point_cache(points, str(tmp_path / "p"))
+    assert writers.cached_points(spark, str(tmp_path / "p"), one).exceptAll(points.where(F.col("species") == one)).count() == 0
+    assert writers.cached_points(spark, str(tmp_path / "p"), one).count() == points.where(F.col("species") == one).count()
+    counts = writers.count_cache(points, "species", str(tmp_path / "n"))
+    assert counts.agg(F.sum("n")).first()[0] == points.count()
+    assert writers.count_cache(points.where("false"), "species", str(tmp_path / "n")).count() == counts.count()
+    f = spark.read.parquet("/root/testdata/sf0.001/fichas.parquet")
+    assert writers.append_missing(f.where("ficha_id <= 20"), str(tmp_path / "f"), "ficha_id") == 20
+    assert writers.append_missing(f.where("ficha_id <= 30"), str(tmp_path / "f"), "ficha_id") == 10
+    assert spark.read.parquet(str(tmp_path / "f")).count() == 30
+    sizes = [len(r.records) for r in writers.in_batches(f.repartition(2), "ficha_id", 9).collect()]
+    assert sum(sizes) == f.count() and max(sizes) <= 9
