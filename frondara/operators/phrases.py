@@ -18,9 +18,9 @@ PHRASES = 500_000
 
 
 def _longest(hits: list[tuple[int, str, list[tuple[int, str | None]]]]) -> Iterator[tuple[int, str | None, str, int]]:
-    """(entry, level, alias, start) of the longest aliases first, then the earlier place, each consuming its span of its level."""
+    """(entry, level, alias, start) of the longest aliases first, in alphabetical order, each consuming its span of its level."""
     taken: dict[str | None, list[tuple[int, int]]] = {}
-    for start, alias, entries in sorted(hits, key=lambda h: (-len(h[1]), h[0])):
+    for start, alias, entries in sorted(hits, key=lambda h: (-len(h[1]), h[1], h[0])):
         end = start + len(alias)
         free = {level for _, level in entries if not any(start < e and s < end for s, e in taken.get(level, ()))}
         for level in free:
@@ -33,7 +33,7 @@ def _longest(hits: list[tuple[int, str, list[tuple[int, str | None]]]]) -> Itera
 def phrase_matches(texts: DataFrame, phrases: DataFrame, id_col: str, text_col: str, longest: bool) -> DataFrame:
     """(id, gaz_id, hierarchy_level, alias, start) of phrase occurrences in folded texts, without word boundaries.
 
-    With ``longest``, for each level longer aliases come first (then the earlier place) and consume their span; every
+    With ``longest``, for each level longer aliases come first (equally long ones in alphabetical order, then the earlier place) and consume their span; every
     entry of an alias is given. Null texts and an empty list give no rows; repeated texts repeated rows. Each block of
     PHRASES phrases is one pass over the texts by an Aho-Corasick automaton; with several blocks the longest are chosen
     from the hits of all of them, a text's hits together.

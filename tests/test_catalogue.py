@@ -4,7 +4,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from frondara.functions import spanish as es
-from frondara.functions.places import clauses, parse_places
 from frondara.operators import bands, ordered
 from frondara.plans.intent import Intent, parse, validated
 
@@ -89,23 +88,13 @@ def test_validation():
     assert validated(Intent(region="Nada", elev_lo=2000.0, flowering_month=True), VOCAB) == Intent()
 
 
-def test_places():
-    assert clauses("a, b (c, d); e") == ["a", "b (c, d)", "e"]
-    got = parse_places("vert. Carib., Cordillera de X y Valle de Y (P.N. Z), falda N de Sierra W; ambas verts., N Llanura V")
-    assert [(s, k, n, side) for s, k, n, side, _, _ in got] == [
-        ("Caribe", "cordillera", "Cordillera de X", None), ("Caribe", "valle", "Valle de Y", None), ("Caribe", "cordillera", "Sierra W", "N"), ("ambas", "llanura", "Llanura V", "N"),
-    ]
-    assert got[0][4] == ["P.N. Z"] and parse_places(None) == []
-
-
 def test_queries_against_sql(spark):
     import importlib
 
     from frondara import compare
-    from frondara.plans import catalog_queries, core_problems
 
     entry = importlib.import_module("__spark_entry__")
-    names = [*core_problems.QUERIES, *catalog_queries.QUERIES]
+    names = [n for m in entry._MODULES for n in m.QUERIES]
     said = compare.compare(spark, "/root/testdata/sf0.001", names)
     assert set(said) == set(names)
     assert [k for k, v in said.items() if v.startswith(("DIFF", "ERR"))] == []
