@@ -275,22 +275,23 @@ FROM (SELECT *, {_LO} AS xlo, {_HI} AS xhi FROM {_FIRST} WHERE elev_min IS NOT N
 def validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Catalogue against points, one row a species: shares, slope agreement, quantiles.
 
-    The quantiles are exact; their buffer holds one count for each distinct altitude, which the measuring step bounds.
+    Points are counted by (species, altitude, slope) before they meet the catalogue, so that no task holds a hot species'
+    rows; everything after works on weighted distinct altitudes, whose number the measuring step bounds. The quantiles
+    are exact.
     """
     lo, hi = effective_bounds()
     f = first_fichas(spark, sf_dir).where("elev_min IS NOT NULL AND elev_max IS NOT NULL")
-    f = f.select("species", "family", "elev_min", "elev_max", lo.alias("xlo"), hi.alias("xhi"), "vertientes", "endemic_cr")
-    p = table(spark, sf_dir, "points").where(_usable()).select("species", "altitud", without_junk(F.col("vertiente")).alias("vertiente"))
-    x = p.join(f, "species")
-    share = lambda c: F.avg(c.cast("double"))
-    alt = F.col("altitud")
-    same = F.array_contains(F.transform("vertientes", es.slope_key), es.slope_key(F.col("vertiente")))
-    q = F.percentile(alt, F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
+    f = f.select("species", "family", "elev_min", "elev_max", lo.alias("xlo"), hi.alias("xhi"), F.transform("vertientes", es.slope_key).alias("slopes"), "endemic_cr")
+    p = table(spark, sf_dir, "points").where(_usable()).select("species", "altitud", es.slope_key(without_junk(F.col("vertiente"))).alias("slope"))
+    x = p.groupBy("species", "altitud", "slope").agg(F.count(F.lit(1)).alias("k")).join(f, "species")
+    alt, k = F.col("altitud"), F.col("k")
+    share = lambda c: F.sum(F.when(c, k).otherwise(0)) / F.sum(F.when(c.isNotNull(), k))
+    same = F.when(F.col("slope").isNotNull() & (F.size("slopes") > 0), F.array_contains("slopes", F.col("slope")))
+    q = F.percentile(alt, F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)), k)
     out = x.groupBy("species").agg(
         F.first("family").alias("family"), F.first("elev_min").alias("elev_min"), F.first("elev_max").alias("elev_max"), F.first("xlo").alias("xlo"), F.first("xhi").alias("xhi"), F.first("endemic_cr").alias("endemic"),
-        F.count(F.lit(1)).alias("n"), share(alt.between(F.col("elev_min"), F.col("elev_max"))).alias("in_core"), share(alt.between(F.col("xlo"), F.col("xhi"))).alias("in_ext"),
-        share(alt < F.col("xlo")).alias("below"), share(alt > F.col("xhi")).alias("above"),
-        share(F.when(F.col("vertiente").isNotNull() & (F.size("vertientes") > 0), same)).alias("vmatch"), q.alias("q"),
+        F.sum(k).alias("n"), share(alt.between(F.col("elev_min"), F.col("elev_max"))).alias("in_core"), share(alt.between(F.col("xlo"), F.col("xhi"))).alias("in_ext"),
+        share(alt < F.col("xlo")).alias("below"), share(alt > F.col("xhi")).alias("above"), share(same).alias("vmatch"), q.alias("q"),
     )
     out = out.withColumns({"q05": F.col("q")[0], "median": F.col("q")[1], "q95": F.col("q")[2]}).drop("q")
     return out.withColumns({"median_in": F.col("median").between(F.col("xlo"), F.col("xhi")), "core_overlap": F.greatest("q05", "xlo") <= F.least("q95", "xhi")})
@@ -424,13 +425,17 @@ def set_precision_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("n_gold", "n_pred", "n_hit", F.round(p, 6).alias("prec"), F.round(r, 6).alias("rec"))
 
 
-@query("SELECT dist_id, list_distinct(list_concat(coalesce(vertientes, []), CASE WHEN regexp_matches(habitat_raw, 'seco') THEN ['Pacífico'] ELSE [] END)) IS NOT NULL AS has, len(list_distinct(list_concat(coalesce(vertientes, []), CASE WHEN regexp_matches(habitat_raw, 'seco') THEN ['Pacífico'] ELSE [] END))) AS n FROM distribution_fichas")
+_UNION = "list_concat(coalesce(d.vertientes, []), coalesce(f.v, []))"
+
+
+@query(f"""SELECT d.dist_id, list_filter({_UNION}, lambda x, i: list_position({_UNION}, x) = i) AS slopes FROM distribution_fichas d
+LEFT JOIN (SELECT species, arg_min(vertientes, ficha_id) AS v FROM fichas WHERE vertientes IS NOT NULL GROUP BY species) f USING (species)""")
 def set_union_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Slopes of two sources, each once, in the order of first mention."""
+    """Slopes of a distribution and of its species' record, each once, in the order of first mention."""
     none = F.array().cast("array<string>")
-    extra = F.when(F.col("habitat_raw").rlike("seco"), F.array(F.lit("Pacífico"))).otherwise(none)
-    both = F.array_distinct(F.concat(F.coalesce("vertientes", none), extra))
-    return table(spark, sf_dir, "distribution_fichas").select("dist_id", both.isNotNull().alias("has"), F.size(both).cast("long").alias("n"))
+    f = table(spark, sf_dir, "fichas").where("vertientes IS NOT NULL").groupBy("species").agg(F.min_by("vertientes", "ficha_id").alias("v"))
+    d = table(spark, sf_dir, "distribution_fichas").select("dist_id", "species", "vertientes").join(f, "species", "left")
+    return d.select("dist_id", F.array_distinct(F.concat(F.coalesce("vertientes", none), F.coalesce("v", none))).alias("slopes"))
 
 
 # ---------------------------------------------------------------- text
