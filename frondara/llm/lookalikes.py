@@ -101,7 +101,8 @@ def _lone_greek(c: str, before: str, after: str) -> bool:
 
 
 #: Anything but ASCII and characters that are their own form whatever stands beside them.
-_UNUSUAL = re.compile(r"[^\x00-\x7fáéíóúüñÁÉÍÓÚÜÑªº¬·–—¿¡]")
+UNUSUAL = r"[^\x00-\x7fáéíóúüñÁÉÍÓÚÜÑªº¬·–—¿¡]"
+_UNUSUAL = re.compile(UNUSUAL)
 
 
 def unify(text: str) -> str:
@@ -133,16 +134,16 @@ def _tables(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
 def unified(df: DataFrame, text_col: str, out_col: str = "unified") -> DataFrame:
     """``df`` with ``out_col``, the one consistent form of ``text_col``.
 
-    Every distinct text with a character outside ASCII is exploded to positioned code points, which are joined with the
+    Every distinct text with a character that may not be its own form is exploded to positioned code points, which are joined with the
     decomposition and look-alike mapping; combining marks are put in the order of their classes, bases and marks
-    composed again, and the text rebuilt. ASCII texts are their own form, null stays null, the empty text stays empty.
-    A spacing accent after a letter with which it composes is its mark. A lowercase Greek letter that stands alone is kept. Repeated texts are worked on once. All other columns are kept,
-    whatever their names.
+    composed again, and the text rebuilt. Texts of ASCII and usual composed letters only are their own form, null stays null,
+    the empty text stays empty. A spacing accent after a letter with which it composes is its mark. A lowercase Greek letter
+    that stands alone is kept. Repeated texts are worked on once. All other columns are kept, whatever their names.
     """
     spark = df.sparkSession
     to, marks, composed = _tables(spark)
     key = [F.xxhash64(F.col(text_col)).alias("_h1"), F.xxhash64(F.reverse(F.col(text_col)), F.lit(7)).alias("_h2")]
-    texts = df.select(F.col(text_col).alias("_text")).where(F.col("_text").rlike(r"[^\x00-\x7F]"))
+    texts = df.select(F.col(text_col).alias("_text")).where(F.col("_text").rlike(UNUSUAL))
     texts = texts.distinct().select(F.xxhash64("_text").alias("_h1"), F.xxhash64(F.reverse("_text"), F.lit(7)).alias("_h2"), "_text")
     points = texts.select("_h1", "_h2", F.posexplode(F.split("_text", "")).alias("_pos", "_ch")).where(F.col("_ch") != "")
     by_text = Window.partitionBy("_h1", "_h2").orderBy("_pos")
@@ -168,7 +169,7 @@ def unified(df: DataFrame, text_col: str, out_col: str = "unified") -> DataFrame
     piece = F.coalesce("_composed", F.concat("_first", F.expr("substring(_cluster, 3)")), "_cluster")
     rebuilt = clusters.groupBy("_h1", "_h2").agg(F.array_join(F.array_sort(F.collect_list(F.struct("_start", piece.alias("_s"))))["_s"], "").alias(out_col))
     rebuilt = texts.select("_h1", "_h2").join(rebuilt, ["_h1", "_h2"], "left").withColumn(out_col, F.coalesce(out_col, F.lit("")))
-    changed = F.col(text_col).rlike(r"[^\x00-\x7F]")
+    changed = F.coalesce(F.col(text_col).rlike(UNUSUAL), F.lit(False))
     return df.withColumns({"_h1": F.when(changed, key[0]), "_h2": F.when(changed, key[1])}).join(rebuilt, ["_h1", "_h2"], "left").withColumn(
         out_col, F.when(changed, F.col(out_col)).otherwise(F.col(text_col))
     ).drop("_h1", "_h2")
