@@ -34,8 +34,8 @@ MOST_DIFFERENCES = 2 * (LEAST_WORDS - 1) // (PER_DIFFERENCE - 1)
 #: Which words under a mask it looks at, the first always, and the passages it serves: all, or those under LEAST_WORDS.
 #: A hit of any mask is extended.
 MASKS = (("1110111", False), ("11111", True))
-#: Passages that go to the tasks at a time; more of them are searched block by block.
-BLOCK_ITEMS = 20_000
+#: Passages, and characters of them, that go to the tasks at a time; more of them are searched block by block.
+BLOCK_ITEMS, BLOCK_CHARS = 20_000, 20_000_000
 #: Documents worked on together.
 SLICE = 256
 #: Hits looked over together; speed only.
@@ -264,8 +264,8 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text_col: s
     """
     spark = docs.sparkSession
     items = items.select(item_id, passage_col).where(F.col(passage_col).isNotNull())
-    n_items = items.count()
-    blocks = -(-n_items // BLOCK_ITEMS)
+    n_items, chars = items.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length(passage_col)), F.lit(0))).first()
+    blocks = max(-(-n_items // BLOCK_ITEMS), -(-chars // BLOCK_CHARS))
     schema = T.StructType([docs.schema[doc_id], items.schema[item_id]])
     out = spark.createDataFrame([], schema)
     for k in range(max(1, blocks)):
