@@ -20,8 +20,6 @@ from pyspark.sql.window import Window
 from frondara.session import BROADCAST_ROWS, at_most, cut
 
 DIGIT_BITS = 16
-#: Copies of a followed prefix when it has to be shuffled to the rows, so that a hot group meets many tasks.
-SALTS = 32
 
 
 @F.pandas_udf(T.LongType())
@@ -103,23 +101,23 @@ def radix_percentiles(df: DataFrame, groups: Sequence[str], value: str, probs: S
     """(groups, n, one column per percentile): linear interpolation between the two neighbouring ranks.
 
     Nulls and NaN of ``value`` are left out; a null group is a group; groups without values and empty tables give no
-    row; repeated rows count each; infinities are values. The rows are read ``levels`` times, and never shuffled as
-    rows unless more than BROADCAST_ROWS prefixes are followed.
+    row; repeated rows count each; infinities are values. The rows are read ``levels`` times and never shuffled; if more
+    than BROADCAST_ROWS prefixes are followed, equal values of a group are counted once, written, and read from there.
     """
     keys, inner = _renamed(df, groups)
-    rows = df.where(usable(F.col(value))).select(*keys, order_key(F.col(value).cast("double")).alias("_k"))
-    hist = rows.groupBy(*inner, _digit(0).alias("_digit")).agg(F.count(F.lit(1)).alias("_c"))
+    rows = df.where(usable(F.col(value))).select(*keys, order_key(F.col(value).cast("double")).alias("_k"), F.lit(1).cast("long").alias("_c"))
+    counted = False
+    hist = rows.groupBy(*inner, _digit(0).alias("_digit")).agg(F.sum("_c").alias("_c"))
     state = cut(_follow(hist, inner, None, probs).withColumnRenamed("_digit", "_p"))
     for level in range(1, levels):
         followed = state.select(*inner, "_p").distinct()
-        here = rows.select(*inner, _prefix(level).alias("_p"), _digit(level).alias("_digit"))
         by = [*inner, "_p"]
-        if at_most(followed, BROADCAST_ROWS):
-            kept = here.join(F.broadcast(followed), by, "left_semi")
-        else:
-            salted = here.withColumn("_s", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
-            kept = salted.join(followed.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [*by, "_s"], "left_semi").drop("_s")
-        hist = kept.groupBy(*by, "_digit").agg(F.count(F.lit(1)).alias("_c"))
+        small = at_most(followed, BROADCAST_ROWS)
+        if not small and not counted:
+            rows, counted = cut(rows.groupBy(*inner, "_k").agg(F.sum("_c").alias("_c"))), True
+        here = rows.select(*inner, _prefix(level).alias("_p"), _digit(level).alias("_digit"), "_c")
+        kept = here.join(F.broadcast(followed) if small else followed.hint("merge"), by, "left_semi")
+        hist = kept.groupBy(*by, "_digit").agg(F.sum("_c").alias("_c"))
         found = _follow(hist, by, state, probs)
         state = cut(found.withColumn("_p", F.shiftleft("_p", DIGIT_BITS).bitwiseOR(F.col("_digit"))).drop("_digit"))
     return _outer(_answers(state, inner, probs, names, levels), groups)

@@ -30,6 +30,14 @@ def p1_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     return percentiles.merged_percentiles(percentiles.histograms(daily, ["species"], "load_day", "altitud"), ["species"], PROBS, NAMES)
 
 
+def p1_day_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the percentiles from the days' histograms lie within 2**-20 of the exact ones, per species."""
+    exact = p1_percentiles(spark, sf_dir).select("species", *[F.col(c).alias("x" + c) for c in NAMES])
+    both = p1_by_day(spark, sf_dir).join(exact.hint("merge"), "species")
+    near = [F.abs(F.col(c) - F.col("x" + c)) <= F.abs(F.col("x" + c)) * 2.0**-20 + 2e-6 for c in NAMES]
+    return both.select("species", "n", *[x.alias(c + "_ok") for x, c in zip(near, NAMES)])
+
+
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Species of range_width whose stored median_in contradicts the median of their points' usable altitudes."""
     said = F.lower(F.trim("median_in"))
@@ -135,13 +143,14 @@ def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p1_percentiles": p1_percentiles, "p1_by_day": p1_by_day, "p2_found": p2_found, "p2_clean": p2_clean, "p4_found": p4_found, "p4_forms": p4_forms, "p5_found": p5_found, "p5_pairs": p5_pairs, "p6_found": p6_found, "p6_canonical": p6_canonical, "p8_ids": p8_ids, "p9_found": p9_found, "p10_pieces": p10_pieces,
+    "p1_found": p1_found, "p1_percentiles": p1_percentiles, "p1_by_day": p1_by_day, "p1_day_error": p1_day_error, "p2_found": p2_found, "p2_clean": p2_clean, "p4_found": p4_found, "p4_forms": p4_forms, "p5_found": p5_found, "p5_pairs": p5_pairs, "p6_found": p6_found, "p6_canonical": p6_canonical, "p8_ids": p8_ids, "p9_found": p9_found, "p10_pieces": p10_pieces,
 }
 
 _ALT = "altitud IS NOT NULL AND NOT isnan(altitud) AND altitud >= -500"
 ORACLE = {
     "p1_percentiles": "SELECT species, count(*) AS n, " + ", ".join(f"round(quantile_cont(altitud, {p}), 6) AS {n}" for p, n in zip(PROBS, NAMES))
     + f" FROM points WHERE species IS NOT NULL AND {_ALT} GROUP BY species",
+    "p1_day_error": "SELECT species, count(*) AS n, " + ", ".join(f"true AS {n}_ok" for n in NAMES) + f" FROM points WHERE species IS NOT NULL AND {_ALT} GROUP BY species",
     "p1_found": f"""SELECT r.species FROM range_width r JOIN (SELECT species, median(altitud) AS m FROM points WHERE {_ALT} GROUP BY species) p
 ON p.species = r.species WHERE r.median_in IS NOT NULL AND (lower(trim(r.median_in)) = 'true')
 <> (p.m BETWEEN CAST(split_part(r.manual_ext, '-', 1) AS DOUBLE) AND CAST(split_part(r.manual_ext, '-', 2) AS DOUBLE))""",
