@@ -191,7 +191,17 @@ def join_alias_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrase_matches(texts, aliases(spark, sf_dir), "raw_id", "text", longest=False).select("raw_id", "gaz_id").distinct()
 
 
-@query()
+# Aliases in the order in which they claim their places of a text, walked down one by one with what is taken so far.
+_LONGEST = f"""(WITH RECURSIVE d AS (SELECT raw_id, {_NOACC.format('distribution_paragraph')} AS t FROM raw_fichas WHERE distribution_paragraph IS NOT NULL),
+h AS (SELECT DISTINCT d.raw_id, a.hierarchy_level AS lv, a.alias, p.pos - 1 AS s, p.pos - 1 + length(a.alias) AS e FROM d JOIN {_ALIAS} a ON contains(d.t, a.alias), unnest(range(1, length(d.t) + 1)) AS p(pos) WHERE substr(d.t, p.pos, length(a.alias)) = a.alias),
+r AS (SELECT *, row_number() OVER (PARTITION BY raw_id, lv ORDER BY length(alias) DESC, alias, s) AS n FROM h),
+w AS (SELECT raw_id, lv, 0::BIGINT AS n, []::STRUCT(s BIGINT, e BIGINT)[] AS taken, '' AS alias, 0::BIGINT AS s, false AS kept FROM (SELECT DISTINCT raw_id, lv FROM h) UNION ALL
+SELECT r.raw_id, r.lv, r.n, CASE WHEN len(list_filter(w.taken, lambda k: r.s < k.e AND k.s < r.e)) = 0 THEN list_append(w.taken, struct_pack(s := r.s, e := r.e)) ELSE w.taken END, r.alias, r.s,
+len(list_filter(w.taken, lambda k: r.s < k.e AND k.s < r.e)) = 0 FROM w JOIN r ON r.raw_id = w.raw_id AND r.lv = w.lv AND r.n = w.n + 1)
+SELECT w.raw_id, a.gaz_id, a.hierarchy_level, a.alias, CAST(w.s AS INT) AS start FROM w JOIN {_ALIAS} a ON a.alias = w.alias AND a.hierarchy_level = w.lv WHERE w.kept)"""
+
+
+@query(f"SELECT raw_id, gaz_id, hierarchy_level, alias, start FROM {_LONGEST}")
 def join_longest_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per level the longest aliases first, each consuming its place of the text; every entry of an alias is named."""
     from frondara.operators.phrases import phrase_matches

@@ -86,6 +86,12 @@ def _resolved(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, D
 # ---------------------------------------------------------------- queries
 
 
+@query(f"SELECT raw_id, gaz_id, hierarchy_level AS level, min(start) AS start FROM {cq._LONGEST} GROUP BY ALL")
+def join_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities named in each distribution text by the longest alias of each level, each once, where it first stands."""
+    return named_entities(table(spark, sf_dir, "raw_fichas"), cq.aliases(spark, sf_dir), "raw_id", "distribution_paragraph").select("raw_id", "gaz_id", "level", "start")
+
+
 @query()
 def comp_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The entities of every distribution text, with the way that found them."""
