@@ -31,22 +31,31 @@ def opens_with(block: Column, words: list[str]) -> Column:
     return block.rlike("^(?:" + "|".join(words) + ")")
 
 
-def header(block: Column) -> Column:
-    """Struct (genus, species, authority) of a block that opens an entry, else null.
-
-    Either ``Genus sp. 3``, or a binomial whose first HEAD characters hold a volume with a page and a year; the authority
-    runs to the first full stop after the binomial.
-    """
-    genus = F.regexp_extract(block, rf"^(\p{{Lu}}[{_LOW}-]+)\s", 1)
-    number = F.regexp_extract(block, r"^\S+\s+(sp\.\s*\d+)", 1)
-    epithet = F.regexp_extract(block, rf"^\S+\s+([{_LOW}-]{{3,}})(?![\p{{L}}\p{{N}}_])", 1)
+def _parts(block: Column) -> tuple[Column, Column, Column]:
+    """(genus, number of an unnamed species, epithet) that a block begins with; empty where it doesn't."""
+    return (
+        F.regexp_extract(block, rf"^(\p{{Lu}}[{_LOW}-]+)\s", 1), F.regexp_extract(block, r"^\S+\s+(sp\.\s*\d+)", 1),
+        F.regexp_extract(block, rf"^\S+\s+([{_LOW}-]{{3,}})(?![\p{{L}}\p{{N}}_])", 1),
+    )
+
+
+def opens_entry(block: Column) -> Column:
+    """Whether a block opens an entry: ``Genus sp. 3``, or a binomial with a volume, a page and a year within HEAD characters."""
+    genus = rf"^\p{{Lu}}[{_LOW}-]+\s+"
     front = F.substring(block, 1, HEAD)
     cited = front.rlike(r"\d(\(\d+[a-z]?\))?:\s*\d") & front.rlike(r"(?:1[6-9]|20)\d\d")
-    named = (genus != "") & ~genus.isin(NO_GENUS) & (epithet != "") & cited
-    rest = F.regexp_extract(block, rf"^\S+\s+[{_LOW}-]+([^.]*)", 1)
-    authority = F.regexp_replace(rest, "^[ ,]+|[ ,]+$", "")
-    parts = lambda name, author: F.struct(genus.alias("genus"), F.concat_ws(" ", genus, name).alias("species"), author.alias("authority"))
-    return F.when((genus != "") & (number != ""), parts(number, F.lit(""))).when(named, parts(epithet, authority))
+    named = block.rlike(genus + rf"[{_LOW}-]{{3,}}(?![\p{{L}}\p{{N}}_])") & ~block.rlike("^(?:" + "|".join(NO_GENUS) + r")\s")
+    return block.rlike(genus + r"sp\.\s*\d") | (named & cited)
+
+
+def header(block: Column) -> Column:
+    """Struct (genus, species, authority) of a block that opens an entry, else null; the authority runs to the first full
+    stop after the binomial."""
+    genus, number, epithet = _parts(block)
+    authority = F.regexp_replace(F.regexp_extract(block, rf"^\S+\s+[{_LOW}-]+([^.]*)", 1), "^[ ,]+|[ ,]+$", "")
+    unnamed = number != ""
+    name = F.when(unnamed, number).otherwise(epithet)
+    return F.when(opens_entry(block), F.struct(genus.alias("genus"), F.concat_ws(" ", genus, name).alias("species"), F.when(unnamed, "").otherwise(authority).alias("authority")))
 
 
 def is_distribution(block: Column) -> Column:
@@ -72,6 +81,6 @@ def is_key(block: Column) -> Column:
 def kind(block: Column) -> Column:
     """header, distribution, furniture, key, morphology or other."""
     return (
-        F.when(is_furniture(block), "furniture").when(header(block).isNotNull(), "header").when(is_distribution(block), "distribution")
+        F.when(is_furniture(block), "furniture").when(opens_entry(block), "header").when(is_distribution(block), "distribution")
         .when(is_key(block), "key").when(opens_with(block, GROWTH), "morphology").otherwise("other")
     )

@@ -263,15 +263,12 @@ def reach_join(
     """
     spark = points.sparkSession
     keep = list(keep)
-    if how == "left":
-        marked = cut(points.select(*keep, "lon", "lat").withColumn("_rid", F.monotonically_increasing_id()))
-        pairs = reach_join(marked.select("_rid", "lon", "lat"), places, ["_rid"], index_rows, cell_rows, cell_places, edges=edges)
-        return marked.select(*keep, "_rid").join(pairs.hint("merge"), "_rid", "left").drop("_rid")
     lon, lat = F.col("lon").cast("double"), F.col("lat").cast("double")
-    points = points.where(lon.isNotNull() & lat.isNotNull() & ~F.isnan(lon) & ~F.isnan(lat)).select(*keep, lon.alias("_x"), lat.alias("_y"))
+    given, points = points, points.select(*keep, lon.alias("_x"), lat.alias("_y"))
+    sound = F.col("_x").isNotNull() & F.col("_y").isNotNull() & ~F.isnan("_x") & ~F.isnan("_y")
     places = places.select("place_id", lon.alias("lon"), lat.alias("lat"), F.col("reach_m").cast("double").alias("reach_m"), "ring")
     kept = T.StructType([points.schema[c] for c in keep])
-    out = T.StructType([*kept, places.schema["place_id"]])
+    out = T.StructType([*kept, T.StructField("place_id", places.schema["place_id"].dataType)])
 
     n_places, corners = places.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size(F.coalesce("ring", F.array()))), F.lit(0))).first()
     if n_places <= index_rows and corners <= INDEX_CORNERS:
@@ -282,12 +279,26 @@ def reach_join(
             ix = index.value
             ids = ix.places["place_id"].to_numpy()
             for pdf in batches:
+                a = b = np.zeros(0, np.int64)
                 if len(pdf) and len(ids):
-                    a, b = ix.match(*_xy(pdf))
+                    x, y = _xy(pdf)
+                    here = np.flatnonzero(np.isfinite(x) & np.isfinite(y))
+                    a, b = ix.match(x[here], y[here])
+                    a = here[a]
+                if how != "left":
                     yield pdf[keep].iloc[a].reset_index(drop=True).assign(place_id=ids[b])
+                elif len(pdf):
+                    alone = np.setdiff1d(np.arange(len(pdf)), a)
+                    found = pd.Series([*ids[b].tolist(), *[None] * len(alone)], dtype=object)
+                    yield pdf[keep].iloc[np.concatenate([a, alone])].reset_index(drop=True).assign(place_id=found)
 
-        return points.mapInPandas(local, out)
+        return (points if how == "left" else points.where(sound)).mapInPandas(local, out)
 
+    if how == "left":
+        marked = cut(given.select(*keep, "lon", "lat").withColumn("_rid", F.monotonically_increasing_id()))
+        pairs = reach_join(marked.select("_rid", "lon", "lat"), places, ["_rid"], index_rows, cell_rows, cell_places, edges=edges)
+        return marked.select(*keep, "_rid").join(pairs.hint("merge"), "_rid", "left").drop("_rid")
+    points = points.where(sound)
     one_in = max(1, -(-n_places // PIVOT_SAMPLE))
     bare = places.where(F.pmod(F.xxhash64("place_id"), F.lit(one_in)) == 0).where(F.col("lon").isNotNull() & F.col("lat").isNotNull())
     sample = _ready(bare.limit(2 * PIVOT_SAMPLE).withColumn("ring", F.when(F.size("ring") <= 64, F.col("ring"))).toPandas())

@@ -57,7 +57,8 @@ def lexical_vector(text: Column) -> Column:
     """
     words = F.filter(F.split(es.normalized(text), "[^a-z0-9]+"), lambda w: w != "")
     slots = F.transform(words, lambda w: F.conv(F.substring(F.md5(w), 1, 4), 16, 10).cast("int") % DIMS)
-    return F.transform(F.sequence(F.lit(0), F.lit(DIMS - 1)), lambda i: F.size(F.filter(slots, lambda s: s == i)).cast("double"))
+    # The classes stand in an array of one, so that the words are digested once and not for each class.
+    return F.transform(F.array(slots), lambda own: F.transform(F.sequence(F.lit(0), F.lit(DIMS - 1)), lambda i: F.size(F.filter(own, lambda s: s == i)).cast("double")))[0]
 
 
 def indexed(records: DataFrame) -> DataFrame:
@@ -192,7 +193,7 @@ def ask(spark: SparkSession, sf_dir: str, question: str, k: int = TOP_ASK) -> tu
 def answer(spark: SparkSession, sf_dir: str, question: str, k: int = TOP_ANSWER) -> Answer:
     """One of three recipes for a question: A a named species, B a filtered list, B>A the most extreme of all that pass."""
     catalog = catalogue(spark, sf_dir)
-    named = detected(spark.createDataFrame([(0, question)], "q int, question string"), catalog, "q", "question").first()
+    named = detected(spark.createDataFrame([(0, question)], "q int, question string"), cq.first_fichas(spark, sf_dir), "q", "question").first()
     if named is not None:
         found = catalog.where(F.col("species") == named["species"]).withColumn("score", F.lit(1.0))
         return Answer(question, "A (especie)", {}, None, evidence(_ranked(found, "score"), spark, sf_dir))

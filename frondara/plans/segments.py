@@ -26,8 +26,9 @@ def entries(stream: DataFrame, part: str, order: list[str]) -> DataFrame:
 
     Blocks before the first header are entry 0, the preamble.
     """
-    x = stream.withColumns({"kind": b.kind(F.col("block")), "head": b.header(F.col("block"))}).where("kind <> 'furniture'")
-    return ordered.running(x, part, order, F.col("kind") == "header")
+    placed = ordered.running(stream, part, order, b.opens_entry(F.col("block")))
+    x = placed.withColumn("kind", b.kind(F.col("block"))).where("kind <> 'furniture'")
+    return x.withColumn("head", F.when(F.col("kind") == "header", b.header(F.col("block"))))
 
 
 def segmented(stream: DataFrame, part: str, order: list[str]) -> DataFrame:

@@ -118,8 +118,9 @@ def test_left_join_and_edges(spark):
     ring = [{"x": a, "y": b} for a, b in [(-85.0, 9.0), (-84.0, 9.0), (-84.0, 10.0), (-85.0, 10.0), (-85.0, 9.0)]]
     q = spark.createDataFrame([(7, 0.0, 0.0, 0.0, ring)], "place_id long, lon double, lat double, reach_m double, ring array<struct<x:double,y:double>>")
     p = spark.createDataFrame([(1, -84.5, 9.5), (1, -84.5, 9.5), (2, -83.0, 9.5), (3, None, 9.0), (4, -84.0, 10.0), (5, -84.0, 9.5)], "point_id long, lon double, lat double")
-    got = sorted((r.point_id, r.place_id or 0) for r in sp.reach_join(p, q, how="left").collect())
-    assert got[:4] == [(1, 7), (1, 7), (2, 0), (3, 0)] and len(got) == 6
+    ways = [sorted((r.point_id, r.place_id or 0) for r in sp.reach_join(p, q, how="left", index_rows=n).collect()) for n in (99, 0)]
+    got = ways[0]
+    assert ways[0] == ways[1] and got[:4] == [(1, 7), (1, 7), (2, 0), (3, 0)] and len(got) == 6
     assert {r.point_id for r in sp.reach_join(p, q, edges=True).collect()} == {1, 4, 5}
 
 
