@@ -287,3 +287,17 @@ def join_grid_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "points").where(in_box(F.col("lon"), F.col("lat"))).select("lon", "lat")
     x = raster.sampled(p, observed_raster(spark, sf_dir), GRID)
     return x.groupBy(GRID.col(F.col("lon")).alias("col"), GRID.row(F.col("lat")).alias("row")).agg(F.count(F.lit(1)).alias("n"), F.count("altitud").alias("with_value"))
+
+
+def species_layers(spark: SparkSession, sf_dir: str, species: str) -> DataFrame:
+    """(layer, feature, n) of one species' map: its regions with their cells in the band, inferred ones, and its points.
+
+    The points of one species are read by a filter on the name, which reaches the scan.
+    """
+    one = table(spark, sf_dir, "distribution_fichas").where(F.col("species") == species).select("dist_id")
+    names = broadcast_if_small(regions(spark, sf_dir).select("region_id", "nombre"))
+    layers = join_region_layers(spark, sf_dir).join(one, "dist_id", "left_semi").join(names, "region_id").select(F.concat(F.lit("region_"), "source").alias("layer"), F.col("nombre").alias("feature"), F.lit(1).cast("long").alias("n"))
+    band = comp_band_cells(spark, sf_dir).join(one, "dist_id", "left_semi")
+    cells = band.select(F.explode(F.create_map(F.lit("core"), "n_core", F.lit("outlier"), "n_outlier")).alias("feature", "n")).groupBy(F.lit("elevation").alias("layer"), "feature").agg(F.sum("n").alias("n"))
+    points = tagged_points(spark, sf_dir).where(F.col("species") == species).groupBy(F.lit("points").alias("layer"), F.coalesce("nombre", F.lit("–")).alias("feature")).agg(F.count(F.lit(1)).alias("n"))
+    return layers.distinct().unionByName(cells).unionByName(points)

@@ -7,8 +7,8 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Largest number of rows of a side that may be broadcast; beyond it operators shuffle.
-BROADCAST_ROWS = 200_000
+#: Largest number of rows of a side that may be broadcast, and of bytes written as text; beyond either operators shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 48_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +45,7 @@ def at_most(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only for a side whose size was counted; otherwise leave the join to shuffle."""
-    return F.broadcast(df) if at_most(df, rows) else df
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast only for a side whose rows and bytes were counted; otherwise a join by shuffle, whatever Spark guesses."""
+    n, total = df.limit(rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length(F.to_json(F.struct("*")))), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and total <= size else df.hint("merge")

@@ -189,3 +189,25 @@ def test_answers_in_words(spark):
     assert top.mode == "B>A (superlativo)" and "elevación máxima" in top.selector and top.records.count() == 1
     none = answers.answer(spark, SF, "¿Cuál es la hierba de mayor altitud sobre 9000 m?")
     assert none.text() == answers.NOTHING and "sin resultados" in none.mode
+
+
+def test_reports_and_layers(spark):
+    from frondara.plans import geography, reports
+
+    page = reports.retrieval_report(spark, SF)
+    assert "| forest_type | 30 | 30 |" in page and page.startswith("# Preguntas")
+    assert "| slice |" in reports.validation_report(spark, SF) and "Mayores ganancias" in reports.grounding_report(spark, SF)
+    one = geography.join_region_layers(spark, SF).first()["dist_id"]
+    species = spark.read.parquet(f"{SF}/distribution_fichas.parquet").where(F.col("dist_id") == one).first()["species"]
+    layers = {r.layer for r in geography.species_layers(spark, SF, species).collect()}
+    assert layers & {"region_matched", "region_inferred"}
+    assert geography.species_layers(spark, SF, "Nulla species").count() == 0
+
+
+def test_broadcast_only_of_counted_sides(spark):
+    from frondara.session import broadcast_if_small
+
+    df = spark.range(100).withColumn("t", F.lit("x" * 100))
+    plan = lambda side: spark.range(9).join(side, "id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan(broadcast_if_small(df))
+    assert "strategy=merge" in plan(broadcast_if_small(df, rows=10)) and "strategy=merge" in plan(broadcast_if_small(df, size=500))
