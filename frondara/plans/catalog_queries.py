@@ -608,8 +608,8 @@ def comp_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.unionByName(inferred).distinct()
 
 
-_CLEAN_RAW = """raw_fichas AS (SELECT * REPLACE (regexp_replace(regexp_replace(regexp_replace(distribution_paragraph, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]', '', 'g'), '(\\p{L})-\\s*\\r?\\n\\s*(\\p{L})', '\\1\\2', 'g'), '\\s*\\r?\\n\\s*', ' ', 'g') AS distribution_paragraph)
-FROM main.raw_fichas WHERE distribution_paragraph IS NOT NULL)"""
+_CLEAN_RAW = """given AS (SELECT * FROM raw_fichas), raw_fichas AS (SELECT * REPLACE (regexp_replace(regexp_replace(regexp_replace(distribution_paragraph, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]', '', 'g'), '(\\p{L})-\\s*\\r?\\n\\s*(\\p{L})', '\\1\\2', 'g'), '\\s*\\r?\\n\\s*', ' ', 'g') AS distribution_paragraph)
+FROM given WHERE distribution_paragraph IS NOT NULL)"""
 _CATALOG_FORESTS = ORACLE["text_forest_types"].replace("dist_id", "raw_id").replace("distribution_fichas", f"(SELECT raw_id, trim(regexp_extract({_T}, '(?s)^(.*?m)\\s*;', 1)) AS habitat_raw FROM raw_fichas)")
 
 
