@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from frondara.llm.lookalikes import decompositions, unify
+from frondara.llm.lookalikes import decomposed, unify
 
 #: Words in a row that make a case, and words per allowed difference.
 LEAST_WORDS, PER_DIFFERENCE = 25, 10
@@ -50,10 +50,9 @@ _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 @lru_cache(maxsize=1)
 def _folding() -> np.ndarray:
     """Code point -> folded letter or digit; 0 between words, 1 for what is left out."""
-    made = decompositions()
     out = np.zeros(_TABLE, np.uint64)
     for n in range(_TABLE):
-        c = made.get(chr(n), chr(n))
+        c = decomposed(chr(n))
         base = u.normalize("NFD", c)[:1].lower()[:1]
         if c == "" or (base and u.category(base) in ("Mn", "Cf")):
             out[n] = 1

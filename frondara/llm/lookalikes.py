@@ -44,41 +44,41 @@ def _invisible(c: str) -> bool:
     return u.category(c) == "Cf" or 0xFE00 <= n <= 0xFE0F or 0xE0100 <= n <= 0xE01EF or n in (0x034F, 0x115F, 0x1160, 0x3164, 0xFFA0, 0x17B4, 0x17B5)
 
 
+@lru_cache(maxsize=1 << 16)
+def decomposed(c: str) -> str:
+    """What a character is made of; itself where it is its own."""
+    if c < "\x80" or "\ud800" <= c <= "\udfff" or c in USUAL:
+        return c
+    if _invisible(c):
+        return ""
+    if u.category(c) == "Zs":
+        return " "
+    if c in "\u2028\u2029":
+        return "\n"
+    to = u.normalize("NFKD", c)
+    if to != c and to[0] == " ":
+        return c
+    same = lookalikes()
+    return "".join(same.get(x, x) for x in to)
+
+
 @lru_cache(maxsize=1)
 def decompositions() -> dict[str, str]:
     """Character -> what it is made of, of every character that isn't its own: by rule from the Unicode database."""
-    same = lookalikes()
-    out: dict[str, str] = {}
-    for n in range(0x80, 0x110000):
-        c = chr(n)
-        if 0xD800 <= n <= 0xDFFF or c in USUAL:
-            continue
-        if _invisible(c):
-            to = ""
-        elif u.category(c) == "Zs":
-            to = " "
-        elif c in "  ":
-            to = "\n"
-        else:
-            to = u.normalize("NFKD", c)
-            if to != c and to[0] == " ":
-                continue
-            to = "".join(same.get(x, x) for x in to)
-        if to != c:
-            out[c] = to
-    return out
+    made = decomposed.__wrapped__
+    return {c: to for n in range(0x80, 0x110000) if (to := made(c := chr(n))) != c}
 
 
 @lru_cache(maxsize=1)
 def apart() -> dict[str, str]:
     """Letter and the spacing accent written after it -> the mark, where both compose."""
-    made, same = decompositions(), lookalikes()
+    same = lookalikes()
     accents = {c: d[1] for n in range(0x80, 0x10000) if not 0xD800 <= n <= 0xDFFF and len(d := u.normalize("NFKD", c := chr(n))) == 2 and d[0] == " " and u.combining(d[1])}
     letters = [c for n in range(0x41, 0x250) if (c := chr(n)).isalpha() and c not in USUAL] + [c for c in same if c.isalpha()]
     out: dict[str, str] = {}
     for c in letters:
-        base = u.normalize("NFC", made.get(c, c))
-        out |= {c + a: m for a, m in accents.items() if a not in made and len(u.normalize("NFC", base + m)) == len(base)}
+        base = u.normalize("NFC", decomposed(c))
+        out |= {c + a: m for a, m in accents.items() if decomposed(a) == a and len(u.normalize("NFC", base + m)) == len(base)}
     return out
 
 
@@ -109,15 +109,15 @@ def unify(text: str) -> str:
     """The same form for one string in Python, for stages that follow on it; compared with the operator in the tests."""
     if not _UNUSUAL.search(text):
         return text
-    made, accents = decompositions(), apart()
+    accents = apart()
     out = []
     for i, c in enumerate(text):
         if i and text[i - 1 : i + 1] in accents:
             out.append(accents[text[i - 1 : i + 1]])
-        elif c in made and not _lone_greek(c, text[i - 1] if i else " ", text[i + 1] if i + 1 < len(text) else " "):
-            out.append(made[c])
-        else:
+        elif _lone_greek(c, text[i - 1] if i else " ", text[i + 1] if i + 1 < len(text) else " "):
             out.append(c)
+        else:
+            out.append(decomposed(c))
     return u.normalize("NFC", "".join(out))
 
 
