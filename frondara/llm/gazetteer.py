@@ -227,7 +227,7 @@ class Reference:
         self.kinds -= {f for x in forms.values() for f in x}
         if before is not None:
             self.kinds, prefixes = before
-        self.filler = set(filler)
+        self.filler = set(filler) - {f for x in forms.values() for f in x}
         self.prefixes = _by_length(prefixes)
 
     def forms(self, words: Sequence[str]) -> list[str]:
@@ -358,8 +358,10 @@ def _searched(values: DataFrame, reference: DataFrame, shard_entries: int, searc
     filler = _fillers(asked)
     head = ref.limit(shard_entries + 1).collect()
     shards = 1 if len(head) <= shard_entries else -(-ref.count() // shard_entries)
-    before = _before_names(ref)
-    filler = [w for w in filler if w not in _names_among(ref, filler)]
+    before = None if shards == 1 else _before_names(ref)
+    if shards > 1:
+        own = _names_among(ref, filler)
+        filler = [w for w in filler if w not in own]
     out = None
     for k in range(shards):
         rows = head if shards == 1 else ref.where(F.pmod(F.xxhash64("gaz_id"), F.lit(shards)) == k).collect()

@@ -193,6 +193,22 @@ def test_leaks_of_short_passages():
             assert (leaks.find_in(known, [" ".join(doc)]) == [(0, 0)]) == holds_case(doc, words), (n, at)
 
 
+def test_each_mask_adds_hits(monkeypatch):
+    # The first mask ignores an altered word that a plain seed of as many words stumbles over; the second serves short passages.
+    words = [f"w{i}" for i in range(31)]
+    docs = [edited(words, {k: "altered" for k in at}) for at in ((3, 10, 17), (4, 11, 18), (7, 15, 23))]
+    docs += [edited(words[:12], {6: how}) for how in ("missing", "added", "altered")]  # stretches of 6 and 5 clean words
+
+    def found(masks):
+        monkeypatch.setattr(leaks, "MASKS", masks)
+        long, short = leaks.Passages([1], [" ".join(words)]), leaks.Passages([1], [" ".join(words[:12])])
+        hits = len(long.hits(*leaks.word_hashes([" ".join(d) for d in docs]))[0])
+        return hits, sum(leaks.find_in(short, [" ".join(d)]) != [] for d in docs)
+
+    both, plain, first = found(leaks.MASKS), found((("1111111", False), ("11111", True))), found((leaks.MASKS[0],))
+    assert both[0] > plain[0] and both[1] > first[1]
+
+
 def test_word_hashes_fold():
     a, _ = leaks.word_hashes(["Árbol—VERDE, ñandú 12", None, ""])
     b, first = leaks.word_hashes(["arbol verde nandu 12"])
