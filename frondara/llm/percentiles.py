@@ -17,9 +17,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from frondara.session import BROADCAST_ROWS, at_most, cut
+from frondara.session import at_most, cut
 
 DIGIT_BITS = 16
+#: Followed prefixes that go to the tasks at most; more of them are joined by shuffle.
+FOLLOWED_ROWS = 50_000
 
 
 @F.pandas_udf(T.LongType())
@@ -102,7 +104,7 @@ def radix_percentiles(df: DataFrame, groups: Sequence[str], value: str, probs: S
 
     Nulls and NaN of ``value`` are left out; a null group is a group; groups without values and empty tables give no
     row; repeated rows count each; infinities are values. The rows are read ``levels`` times and never shuffled; if more
-    than BROADCAST_ROWS prefixes are followed, equal values of a group are counted once, written, and read from there.
+    than FOLLOWED_ROWS prefixes are followed, equal values of a group are counted once, written, and read from there.
     """
     keys, inner = _renamed(df, groups)
     rows = df.where(usable(F.col(value))).select(*keys, order_key(F.col(value).cast("double")).alias("_k"), F.lit(1).cast("long").alias("_c"))
@@ -112,7 +114,7 @@ def radix_percentiles(df: DataFrame, groups: Sequence[str], value: str, probs: S
     for level in range(1, levels):
         followed = state.select(*inner, "_p").distinct()
         by = [*inner, "_p"]
-        small = at_most(followed, BROADCAST_ROWS)
+        small = at_most(followed, FOLLOWED_ROWS)
         if not small and not counted:
             rows, counted = cut(rows.groupBy(*inner, "_k").agg(F.sum("_c").alias("_c"))), True
         here = rows.select(*inner, _prefix(level).alias("_p"), _digit(level).alias("_digit"), "_c")

@@ -29,7 +29,7 @@ def test_percentiles_exact_and_merged(spark):
 
 
 def test_percentiles_shuffled_prefixes(spark, monkeypatch):
-    monkeypatch.setattr(percentiles, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(percentiles, "FOLLOWED_ROWS", 0)
     df = spark.range(999).select((F.col("id") % 3).alias("k"), (F.col("id") * 1.5).alias("v"))
     got = {r.k: r.m for r in percentiles.radix_percentiles(df, ["k"], "v", [0.5], ["m"]).collect()}
     assert got == {k: float(np.median([i * 1.5 for i in range(999) if i % 3 == k])) for k in range(3)}
