@@ -13,6 +13,7 @@ from frondara.operators import bands, ordered
 from frondara.plans.core_problems import in_box, put_right, without_junk
 from frondara.plans.intent import Intent, condition, parse, superlative
 from frondara.session import broadcast_if_small, table
+from frondara.sources import writers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -382,18 +383,24 @@ def win_best_of_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
-@query("""SELECT raw_id, pos, clause, last_value(mark IGNORE NULLS) OVER (PARTITION BY raw_id ORDER BY pos) AS slope FROM (SELECT raw_id, pos, clause,
-CASE WHEN regexp_matches(clause, '(?i)^ambas\\s+verts?') THEN 'ambas' WHEN regexp_matches(clause, '(?i)^vert\\.?\\s+carib') THEN 'Caribe' WHEN regexp_matches(clause, '(?i)^vert\\.?\\s+pac') THEN 'Pacífico' END AS mark
-FROM (SELECT raw_id, unnest(range(len(l))) AS pos, trim(unnest(l), e' \\t\\n\\r') AS clause FROM (SELECT raw_id, regexp_split_to_array(distribution_paragraph, '[;,]') AS l FROM raw_fichas WHERE distribution_paragraph IS NOT NULL)))""")
+#: A clause: no comma or semicolon but inside brackets; and what may stand before a slope's marker.
+_CLAUSE, _SIDED = "(?:[^;,(]|\\([^)]*\\)|\\()+", "^(?:(?:[NSEO]{1,2}|centro|central)\\.?\\s+)?"
+
+
+@query(f"""SELECT raw_id, pos, clause, last_value(mark IGNORE NULLS) OVER (PARTITION BY raw_id ORDER BY pos) AS slope FROM (SELECT raw_id, pos, clause,
+CASE WHEN regexp_matches(clause, '(?i)^ambas\\s+verts?') THEN 'ambas' WHEN regexp_matches(clause, '(?i){_SIDED}vert(iente)?\\.?\\s+carib') THEN 'Caribe' WHEN regexp_matches(clause, '(?i){_SIDED}vert(iente)?\\.?\\s+pac') THEN 'Pacífico' END AS mark
+FROM (SELECT raw_id, unnest(range(len(l))) AS pos, trim(unnest(l), e' \\t\\n\\r') AS clause FROM (SELECT raw_id, regexp_extract_all(distribution_paragraph, '{_CLAUSE}') AS l FROM raw_fichas WHERE distribution_paragraph IS NOT NULL)))""")
 def win_slope_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The slope that holds for each clause: a marker holds to the next one."""
-    clauses = table(spark, sf_dir, "raw_fichas").where(F.col("distribution_paragraph").isNotNull()).select("raw_id", F.posexplode(F.split("distribution_paragraph", "[;,]")).alias("pos", "clause"))
+    """The slope that holds for each clause: a marker, with or without a side, holds to the next one; brackets aren't cut."""
+    parts = F.regexp_extract_all("distribution_paragraph", F.lit(_CLAUSE), F.lit(0))
+    clauses = table(spark, sf_dir, "raw_fichas").where(F.col("distribution_paragraph").isNotNull()).select("raw_id", F.posexplode(parts).alias("pos", "clause"))
     clauses = clauses.withColumn("clause", F.regexp_replace("clause", r"^[ \t\n\r]+|[ \t\n\r]+$", ""))
-    mark = F.when(F.col("clause").rlike(r"(?i)^ambas\s+verts?"), "ambas").when(F.col("clause").rlike(r"(?i)^vert\.?\s+carib"), "Caribe").when(F.col("clause").rlike(r"(?i)^vert\.?\s+pac"), "Pacífico")
+    told = lambda p: F.col("clause").rlike("(?i)" + p)
+    slope = lambda name: told(_SIDED + rf"vert(iente)?\.?\s+{name}")
+    mark = F.when(told(r"^ambas\s+verts?"), "ambas").when(slope("carib"), "Caribe").when(slope("pac"), "Pacífico")
     return ordered.carried(clauses, "raw_id", "pos", mark, "slope").select("raw_id", "pos", "clause", "slope")
 
 
-
 def _superlative_sql(value: str, desc: str) -> str:
     return f"SELECT ficha_id, species, family, CAST({value} AS BIGINT) AS value, (SELECT count(*) FROM fichas) AS n_candidates FROM fichas WHERE {value} IS NOT NULL ORDER BY {value} {desc}, ficha_id LIMIT 1"
 
@@ -424,15 +431,15 @@ def top_discrepancies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH g AS (SELECT ficha_id FROM fichas WHERE list_contains(vertientes, 'Caribe') AND coalesce(endemic_cr, false)), p AS (SELECT ficha_id FROM fichas WHERE list_contains(vertientes, 'Caribe'))
 SELECT count(g.ficha_id) AS n_gold, count(p.ficha_id) AS n_pred, count(CASE WHEN g.ficha_id IS NOT NULL AND p.ficha_id IS NOT NULL THEN 1 END) AS n_hit,
-round(count(CASE WHEN g.ficha_id IS NOT NULL AND p.ficha_id IS NOT NULL THEN 1 END) / count(p.ficha_id), 6) AS prec, round(count(CASE WHEN g.ficha_id IS NOT NULL AND p.ficha_id IS NOT NULL THEN 1 END) / count(g.ficha_id), 6) AS rec FROM g FULL JOIN p ON g.ficha_id = p.ficha_id""")
+round(count(CASE WHEN g.ficha_id IS NOT NULL AND p.ficha_id IS NOT NULL THEN 1 END) / count(p.ficha_id), 6) AS prec, round(count(CASE WHEN g.ficha_id IS NOT NULL AND p.ficha_id IS NOT NULL THEN 1 END) / count(g.ficha_id), 6) AS rec, round(2.0 * count(CASE WHEN g.ficha_id IS NOT NULL AND p.ficha_id IS NOT NULL THEN 1 END) / (count(p.ficha_id) + count(g.ficha_id)), 6) AS f1 FROM g FULL JOIN p ON g.ficha_id = p.ficha_id""")
 def set_precision_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A predicted set against a gold set, by full outer join."""
     f = table(spark, sf_dir, "fichas")
     gold = f.where(condition(Intent(vertiente="Caribe", endemic=True))).select("ficha_id", F.lit(1).alias("g"))
     pred = f.where(condition(Intent(vertiente="Caribe"))).select("ficha_id", F.lit(1).alias("p"))
     x = gold.join(pred, "ficha_id", "full_outer").agg(F.count("g").alias("n_gold"), F.count("p").alias("n_pred"), F.count(F.col("g") + F.col("p")).alias("n_hit"))
-    p, r, _ = bands.precision_recall(F.col("n_hit"), F.col("n_pred"), F.col("n_gold"))
-    return x.select("n_gold", "n_pred", "n_hit", F.round(p, 6).alias("prec"), F.round(r, 6).alias("rec"))
+    p, r, f1 = bands.precision_recall(F.col("n_hit"), F.col("n_pred"), F.col("n_gold"))
+    return x.select("n_gold", "n_pred", "n_hit", F.round(p, 6).alias("prec"), F.round(r, 6).alias("rec"), F.round(f1, 6).alias("f1"))
 
 
 _UNION = "list_concat(coalesce(d.vertientes, []), coalesce(f.v, []))"
@@ -532,6 +539,16 @@ def text_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "entity_refs").select("ref_id", es.normalized(F.col("source_span")).alias("norm"))
 
 
+#: Usual abbreviations written out; any list of readers.corrections has this shape.
+CORRECTIONS = (("cordill.", "cordillera"), ("penins.", "peninsula"), ("cdra.", "cordillera"), ("vle.", "valle"))
+
+
+@query("SELECT ref_id, " + "".join("replace(" for _ in CORRECTIONS) + "norm" + "".join(f", '{a}', '{b}')" for a, b in CORRECTIONS) + f" AS norm FROM ({ORACLE['text_normalized']})")
+def text_corrected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Typed places in lower case without accents, their abbreviations written out, the longest first."""
+    return table(spark, sf_dir, "entity_refs").select("ref_id", es.corrected(es.normalized(F.col("source_span")), CORRECTIONS).alias("norm"))
+
+
 @query("SELECT species, CAST(list_min(l) AS INT) AS lo, CAST(list_max(l) AS INT) AS hi FROM (SELECT species, list_transform(regexp_extract_all(manual_ext, '\\d+'), lambda x: CAST(x AS INT)) AS l FROM range_width)")
 def text_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bounds of each stored range text."""
@@ -629,3 +646,28 @@ def comp_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
         es.slopes(text).alias("vertientes"), es.forest_types(habitat).alias("forest_types"), es.entry_habits(F.col("morphology"), F.col("genus_description"), F.col("family")).alias("habits"),
         es.is_endemic(text).alias("endemic_cr"), es.months(text).alias("flowering_months"), es.months(text, "Fr").alias("fruiting_months"),
     )
+
+
+# ---------------------------------------------------------------- stored forms
+
+
+@query("SELECT ficha_id, species, elev_min, elev_max, endemic_cr, len(synonyms) AS n_synonyms, len(regions) AS n_regions, len(flowering_months) AS n_months FROM fichas")
+def comp_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record written as one JSON text and read back under the catalogue's schema."""
+    f = table(spark, sf_dir, "fichas")
+    back = writers.from_documents(writers.documents(f), f.schema).select("r.*")
+    return back.select("ficha_id", "species", "elev_min", "elev_max", "endemic_cr", F.when(F.col("synonyms").isNotNull(), F.size("synonyms")).alias("n_synonyms"), F.when(F.col("regions").isNotNull(), F.size("regions")).alias("n_regions"), F.when(F.col("flowering_months").isNotNull(), F.size("flowering_months")).alias("n_months"))
+
+
+@query(f"""SELECT vector_id, coalesce(elev_min, -1) AS elev_min, coalesce(elev_max, -1) AS elev_max, coalesce({_LO}, -1) AS elev_min_eff, coalesce({_HI}, -1) AS elev_max_eff, list_transform(flowering_months, lambda m: m::VARCHAR) AS months FROM {_FIRST}""")
+def comp_index_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flat records of a vector index: effective bounds, -1 for missing numbers, months as texts."""
+    out = writers.index_records(first_fichas(spark, sf_dir))
+    return out.select("vector_id", "elev_min", "elev_max", "elev_min_eff", "elev_max_eff", F.col("flowering_months").alias("months"))
+
+
+@query("SELECT vector_id, arg_max(ficha_id, (extracted_at, ficha_id)) AS ficha_id FROM fichas GROUP BY vector_id")
+def set_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first extraction of each key with the last one merged in: the later wins."""
+    last = ordered.best_of(table(spark, sf_dir, "fichas"), ["vector_id"], [F.desc("extracted_at"), F.desc("ficha_id")])
+    return ordered.upsert(first_fichas(spark, sf_dir), last, "vector_id").select("vector_id", "ficha_id")
