@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from frondara.session import cut
+
 #: Least similarity of two names: one less the edits for each letter of the longer one.
 CUTOFF = 0.88
 
@@ -27,7 +29,7 @@ def similar_pairs(left: DataFrame, right: DataFrame, left_name: str, right_name:
     unaltered, at most k places off. So pairs meet by (length, number, segment, in the left name at each such place), and
     only those are compared. Null names match nothing, empty ones only each other; repeated rows repeat.
     """
-    r = right.where(F.col(right_name).isNotNull()).withColumns({"_rid": F.monotonically_increasing_id(), "_n": F.length(right_name)})
+    r = right.where(F.col(right_name).isNotNull()).withColumn("_n", F.length(right_name))
     r = r.withColumn("_k", _edits(F.col("_n"), cutoff))
     segment = lambda n, k, i: (F.floor(n * i / (k + 1)).cast("int"), F.floor(n * (i + 1) / (k + 1)).cast("int"))
 
@@ -36,7 +38,8 @@ def similar_pairs(left: DataFrame, right: DataFrame, left_name: str, right_name:
         return F.struct(F.col("_n").alias("n"), i.alias("i"), F.substring(F.col(right_name), a + 1, b - a).alias("s"))
 
     r_keys = r.select(F.struct(*right.columns).alias("_r"), F.col(right_name).alias("_rn"), F.explode(F.transform(F.sequence(F.lit(0), F.col("_k")), own)).alias("_key"))
-    left_ = left.where(F.col(left_name).isNotNull()).withColumns({"_lid": F.monotonically_increasing_id(), "_m": F.length(left_name)})
+    # Numbers of rows must outlive a lost executor, so they are written.
+    left_ = cut(left.where(F.col(left_name).isNotNull()).withColumns({"_lid": F.monotonically_increasing_id(), "_m": F.length(left_name)}))
     most = _edits(F.ceil(F.col("_m") / cutoff), cutoff)
     at = left_.withColumn("_n", F.explode(F.sequence(F.greatest(F.lit(0), F.col("_m") - most), F.col("_m") + most)))
     at = at.withColumn("_k", _edits(F.col("_n"), cutoff)).where(F.abs(F.col("_n") - F.col("_m")) <= F.col("_k"))

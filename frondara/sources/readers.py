@@ -8,9 +8,11 @@ from pyspark.sql.window import Window
 
 from frondara.functions.blocks import flattened
 
-# Files of a corpus that hold no entries, volumes by their folders, and families of continuation files.
-SKIP = r"(?i)\bFM\b|ix_xviii|vii_xvi|index|indices|clave|gimno|\.ps1|z\dmpcr"
-VOLUMES = {"MPCRv2 PDFs": "II", "MPCRv3 PDFs": "III", "Vol IV": "IV", "Vol V": "V", "Vol VI": "VI"}
+# Files of a corpus that hold no entries, volumes that folders number, and families of continuation files.
+SKIP = r"(?i)\bFM\b|ix_xviii|vii_xvi|index|indices|clave|gimno|\.ps1|z\d[a-z]{4}"
+VOLUMES = {"2": "II", "3": "III", "4": "IV", "5": "V", "6": "VI"}
+#: What begins a file that names only the work: its initials.
+WORK = r"^[A-Z]{3,}(?![a-z]{2})"
 FAMILIES = {
     "LauraPersea": "Lauraceae", "MalpStigmaphyllon": "Malpighiaceae", "MalvaModiola": "Malvaceae", "MelaTococa": "Melastomataceae",
     "MelastoMiconia": "Melastomataceae", "MelastomHenriettella": "Melastomataceae",
@@ -21,12 +23,16 @@ GAZETTEER = "canonical_name string, hierarchy_level string, target_shapefile str
 def corpus_files(spark: SparkSession, pattern: str) -> DataFrame:
     """(path, length, volume, family) of the content files below ``pattern`` in the order of their paths; contents aren't read.
 
-    The volume is told by the folder, null for an unknown one; a file without a family of its own is named by its volume.
+    The volume is told by the folder (``Vol IV``, ``...v3``), null for an unknown one; a file without a family of its own is named by its volume.
     """
     files = spark.read.format("binaryFile").load(pattern).select("path", "length")
     parts = F.split(F.regexp_replace("path", "%20", " "), "/")
     name = F.element_at(parts, -1)
-    volume = F.create_map(*[F.lit(x) for kv in VOLUMES.items() for x in kv])[F.element_at(parts, -2)]
+    folder = F.element_at(parts, -2)
+    number = F.regexp_extract(folder, r"v(\d)\b", 1)
+    roman = F.regexp_extract(folder, r"\bVol\.? ([IVX]+)\b", 1)
+    known = F.create_map(*[F.lit(x) for kv in VOLUMES.items() for x in kv])
+    volume = F.when(roman.isin(list(VOLUMES.values())), roman).otherwise(known[number])
     own = family_from_file(name)
     family = F.when(own != "", own).otherwise(F.concat(F.lit("Vol "), F.coalesce(volume, F.lit("?"))))
     return files.where(~name.rlike(SKIP)).select("path", "length", volume.alias("volume"), family.alias("family")).orderBy("path")
@@ -36,7 +42,7 @@ def family_from_file(name: Column) -> Column:
     """The family in a file name such as ``01 Araceae.pdf``; empty where it only names the work."""
     stem = F.regexp_extract(F.regexp_replace(name, r"^\d+\s*", ""), r"^([\p{L}_]+)", 1)
     known = F.create_map(*[F.lit(x) for kv in FAMILIES.items() for x in kv])
-    return F.when(F.upper(stem).startswith("MPCR"), "").otherwise(F.coalesce(known[stem], stem))
+    return F.when(stem.rlike(WORK), "").otherwise(F.coalesce(known[stem], stem))
 
 
 def gazetteer(spark: SparkSession, path: str) -> DataFrame:
@@ -82,7 +88,7 @@ def snapshot_species(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(archives.flatMap(rows), "species string")
 
 
-def reading_order(blocks: DataFrame, titles: str = r"^\d+\s+Manual de|^MPCRv|^Manual de [\p{L} ]+$") -> DataFrame:
+def reading_order(blocks: DataFrame, titles: str = r"^\d+\s+Manual de|^[A-Z]{3,}v\d|^Manual de [\p{L} ]+$") -> DataFrame:
     """Blocks (page, x0, y0, text, page_height) in reading order, with ``seq``.
 
     Running heads by ``titles``, and short blocks at the page's edges, are left out. A page is one unit of order, so pages

@@ -57,7 +57,7 @@ def markdown(df: DataFrame, title: str, rows: int = 12) -> str:
 
 def in_batches(df: DataFrame, key: str, rows: int = 90) -> DataFrame:
     """(part, batch, records): records grouped for an external index, at most ``rows`` a batch, as they lie in the tasks."""
-    part = df.withColumns({"_id": F.monotonically_increasing_id(), "part": F.spark_partition_id()})
+    part = cut(df.withColumns({"_id": F.monotonically_increasing_id(), "part": F.spark_partition_id()}))
     batch = F.floor(F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) / rows)
     return part.groupBy("part", batch.alias("batch")).agg(F.sort_array(F.collect_list(F.struct(key, *[c for c in df.columns if c != key]))).alias("records"))
 

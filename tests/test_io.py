@@ -25,9 +25,12 @@ def test_readers(spark, tmp_path):
         z.writestr("occ.csv", "id\tspecies\n1\tA b\n2\n3\tC d\n4\t\n")
     assert sorted(str(r.species) for r in readers.snapshot_species(spark, str(tmp_path / "s.zip")).collect()) == ["A b", "C d", "None"]
     (tmp_path / "Vol VI").mkdir()
-    for n in ("01 MelaTococa.pdf", "MPCRv6 x.pdf", "03 z1mpcr.pdf"):
+    for n in ("01 MelaTococa.pdf", "ABCDv6 x.pdf", "03 z1abcd.pdf"):
         (tmp_path / "Vol VI" / n).write_text("x")
     assert [(r.family, r.volume) for r in readers.corpus_files(spark, str(tmp_path / "Vol VI")).collect()] == [("Melastomataceae", "VI"), ("Vol VI", "VI")]
+    (tmp_path / "ABCDv3 PDFs").mkdir()
+    (tmp_path / "ABCDv3 PDFs" / "Poaceae.pdf").write_text("x")
+    assert [(r.family, r.volume) for r in readers.corpus_files(spark, str(tmp_path / "ABCDv3 PDFs")).collect()] == [("Poaceae", "III")]
     b = spark.createDataFrame([(1, 0.0, 500.0, "b " * 30, 800.0), (1, 0.0, 200.0, "a " * 30, 800.0), (1, 0.0, 50.0, "head", 800.0), (1, 0.0, 300.0, "12 Manual de Plantas " + "x" * 40, 800.0)], "page int, x0 double, y0 double, text string, page_height double")
     assert [r.text[0] for r in readers.reading_order(b).orderBy("seq").collect()] == ["a", "b"]
 
