@@ -26,8 +26,8 @@ from frondara.session import broadcast_if_small, cut, spread
 SHARD_ENTRIES = 50_000
 #: Most differences for forms of at least so many characters, longest first.
 THRESHOLDS = ((6, 2), (5, 1), (0, 0))
-#: A word says something about a place, and names none, if it stands beside other words in so many ways, as a share of
-#: the distinct values (and so many at least). At most words of a value / FILLER_SHARE words can.
+#: A word says something about a place, and names none, if it stands in so many sequences of words, as a share of the
+#: distinct values (and so many at least). At most words of a value / FILLER_SHARE words can.
 FILLER_SHARE, FILLER_LEAST = 0.005, 5
 #: Searches remembered per task; speed only.
 MEMORY = 300_000
@@ -150,9 +150,11 @@ class Tree:
 
     def within(self, forms: Sequence[str], most: int) -> list[list[tuple[int, str]]]:
         """For each form (distance, name) of every name within ``most``; all forms go down the tree together."""
-        out: list[list[tuple[int, str]]] = [[] for _ in forms]
-        if not self.forms or not len(forms):
-            return out
+        every: list[list[tuple[int, str]]] = [[] for _ in forms]
+        fit = [i for i, f in enumerate(forms) if self.forms and len(f) <= self.size.max() + most]  # longer ones are too far from all
+        if not fit:
+            return every
+        forms, out = [forms[i] for i in fit], [every[i] for i in fit]
         codes, size = _codes(forms)
         bags = _bags(codes)
         stack = [(np.zeros(len(forms), np.int64), np.arange(len(forms)))]
@@ -176,7 +178,7 @@ class Tree:
             keep = (low[pair] - most <= self.edge[at]) & (self.edge[at] <= high[pair] + most)
             if keep.any():
                 stack.append((self.child[at[keep]], q[pair[keep]]))
-        return out
+        return every
 
 
 def _names(name: str, aliases: str | None) -> list[str]:
@@ -340,11 +342,10 @@ def _asked(values: DataFrame) -> DataFrame:
 
 
 def _fillers(asked: DataFrame) -> list[str]:
-    """Words that stand beside other words in very many ways; see FILLER_SHARE for their number."""
+    """Words that stand in very many different sequences of words; see FILLER_SHARE for their number."""
     least = max(FILLER_LEAST, FILLER_SHARE * asked.count())
-    each = asked.select(F.posexplode("words").alias("k", "word"), "words")
-    rest = F.xxhash64(F.filter("words", lambda w, i: i != F.col("k")))
-    return [r[0] for r in each.groupBy("word").agg(F.approx_count_distinct(rest, 0.02).alias("n")).where(F.col("n") >= least).select("word").collect()]
+    each = asked.select(F.xxhash64("words").alias("whole"), F.explode(F.array_distinct("words")).alias("word"))
+    return [r[0] for r in each.groupBy("word").agg(F.approx_count_distinct("whole", 0.02).alias("n")).where(F.col("n") >= least).select("word").collect()]
 
 
 def _searched(values: DataFrame, reference: DataFrame, shard_entries: int, search, schema: str) -> tuple[DataFrame, int]:
@@ -395,10 +396,13 @@ def _names_among(ref: DataFrame, words: list[str]) -> set[str]:
 
 
 def _back(values: DataFrame, won: DataFrame) -> DataFrame:
-    """``won`` (by value and levels) joined to all rows: broadcast if its counted rows allow it, else by shuffle."""
-    won = won.select(F.col("value").alias("_value"), F.col("levels").alias("_levels"), *[F.col(c).alias("_" + c) for c in won.columns if c not in ("value", "levels")])
-    same = F.col("value").eqNullSafe(F.col("_value")) & F.col("levels").eqNullSafe(F.col("_levels"))
-    return values.join(broadcast_if_small(won), same, "left")
+    """``won`` (by value and levels) joined to all rows, its columns in place of theirs of the same names; broadcast if its
+    counted size allows it, else by shuffle."""
+    new = [c for c in won.columns if c not in ("value", "levels")]
+    won = broadcast_if_small(won.select([F.col(c).alias("_fr_won_" + c) for c in won.columns]))
+    same = F.col("value").eqNullSafe(F.col("_fr_won_value")) & F.col("levels").eqNullSafe(F.col("_fr_won_levels"))
+    kept = [c for c in values.columns if c not in new]
+    return values.select(kept).join(won, same, "left").select(*kept, *[F.col("_fr_won_" + c).alias(c) for c in new])
 
 
 _FOUND = "value string, levels array<string>, gaz_id bigint, distance int"
@@ -408,12 +412,11 @@ def map_values(values: DataFrame, reference: DataFrame, shard_entries: int = SHA
     """``values`` with ``gaz_id`` and ``distance``: the closest entry, or -1 and -1 where none is meant.
 
     values: ``value`` string and ``levels`` array of the levels it may have (null: any level), and any other columns,
-    which are kept. reference: ``gaz_id``, ``canonical_name``, ``hierarchy_level``, ``aliases``. Null values get null;
+    which are kept but for ``gaz_id`` and ``distance``. reference: ``gaz_id``, ``canonical_name``, ``hierarchy_level``, ``aliases``. Null values get null;
     empty ones are unmatched; ties go to the entry whose full name is nearest, then to the lower id. Each distinct value
     is searched once; a short list goes to the tasks whole, a longer one shard by shard, and the shards' winners are
     merged.
     """
-    cols = values.columns
 
     def search(known: Reference, b: pd.DataFrame, asked: list, part: bool) -> pd.DataFrame:
         got = known.nearest(b["value"], asked, part)
@@ -424,7 +427,7 @@ def map_values(values: DataFrame, reference: DataFrame, shard_entries: int = SHA
         won = won.groupBy("value", "levels").agg(F.min(F.when(F.col("gaz_id") >= 0, F.struct("distance", "full", "gaz_id"))).alias("w"))
         won = won.select("value", "levels", *[F.coalesce(F.col(f"w.{c}"), F.lit(-1)).alias(c) for c in ("gaz_id", "distance")])
     won = cut(won.select("value", "levels", "gaz_id", "distance"))
-    return _back(values, won).select(*cols, F.col("_gaz_id").alias("gaz_id"), F.col("_distance").alias("distance"))
+    return _back(values, won)
 
 
 def entries_within(values: DataFrame, reference: DataFrame, shard_entries: int = SHARD_ENTRIES) -> DataFrame:

@@ -288,6 +288,17 @@ def test_map_values_against_brute_force(spark):
     assert nearest[0] == nearest[1] and sum(g >= 0 for g, _ in nearest[0]) > 100
 
 
+def test_map_values_of_odd_rows(spark):
+    # Clashing columns, very long values beside short ones, repeated rows, an empty reference.
+    ref = spark.createDataFrame([(1, "Cerro Macegur", "fila", None), (2, None, "fila", None), (3, "Alto Zor", None, "")], "gaz_id long, canonical_name string, hierarchy_level string, aliases string")
+    rows = [(1, "macegr", ["fila"]), (2, "x" * 300_000, None), (3, "zor " * 20_000, None), (4, "macegr", ["fila"]), (5, "?!", None), (6, "macegur", [])]
+    v = spark.createDataFrame(rows, "id int, value string, levels array<string>").withColumns({"gaz_id": F.lit(7), "_value": F.lit("c"), "words": F.lit("c"), "w": F.lit(1)})
+    got = gazetteer.map_values(v, ref)
+    assert sorted(got.columns) == sorted([*v.columns, "distance"])
+    assert {r.id: r.gaz_id for r in got.collect()} == {1: 1, 2: -1, 3: 3, 4: 1, 5: -1, 6: -1}
+    assert {r.gaz_id for r in gazetteer.map_values(v, ref.where("false")).collect()} == {-1}
+
+
 def test_fillers_come_from_the_values(spark):
     # "junto" and "loma" stand beside many different words; "Loma" is also a name of the list and stays one.
     names = ["".join(p) for p in zip("bcdfghjklm" * 3, "aeiou" * 6, "rstvz" * 6, "oaiue" * 6, "nlmr" * 7 + "zz")]
