@@ -55,7 +55,10 @@ _PAGE_INLINE = re.compile(rf"\[\s*{_NUMBER}\s*\]|(?<!\S)[—–-]\s+{_NUMBER}\s+
 _CAPITALS = re.compile(rf"(?:\b[^\W\d_]+\s*[—–]\s*)?\b([A-ZÁÉÍÓÚÑÜ0-9]{{{CAPITALS},}})\b")
 _BEFORE = re.compile(rf"(?<![\w.–-]){_NUMBER}\s*[·—|]?\s*$")
 _AFTER = re.compile(rf"\s*[·—|]?\s*{_NUMBER}(?![\w.:(–-])")
-_HYPHEN = re.compile(r"([^\W_]+)([-¬])(\s+|)([^\W_]*)")
+#: From the start of a word only, so that a long run of letters is read once.
+_HYPHEN = re.compile(r"(?<![^\W_])([^\W_]+)([-¬])(\s+|)([^\W_]*)")
+#: Characters before a head in which its page number is looked for.
+NEAR = 40
 _WORD = re.compile(r"[^\W_]+")
 _LETTER_NUMBER = re.compile(rf"(?<![^\W_])[{DIGIT_LIKE}]{{1,4}}(?=–\d|–[{DIGIT_LIKE}\d]{{2,4}}\b|\(–\d)|(?<=\d–)[{DIGIT_LIKE}]{{2,4}}(?![^\W_])")
 _FOLD = str.maketrans("l1|0586q92", "iiiosbbggz")
@@ -311,16 +314,17 @@ def without_furniture(text: str, corpus: Corpus) -> tuple[str, bool]:
     if corpus.endings:
         heads += [(*m.span(), True) for m in _CAPITALS.finditer(text) if _is_capital_head(m[1], corpus)]
     for a, b, capital in heads:
-        before = _BEFORE.search(text, 0, a)
+        before = _BEFORE.search(text, max(0, a - NEAR), a)
         after = _AFTER.match(text, b)
         if before or after or not capital:
             spans.append((before.start() if before else a, b if before or not after else after.end()))
-    end = len(text) + 1
-    for a, b in sorted(spans, reverse=True):
+    kept, at = [], 0
+    for a, b in sorted(spans):
         found = True
-        if b <= end:  # heads may lie inside one another
-            text, end = text[:a] + text[b:], a
-    return text, found
+        if a >= at:  # heads may lie inside one another
+            kept.append(text[at:a])
+        at = max(at, b)
+    return "".join([*kept, text[at:]]) if spans else text, found
 
 
 def _is_break(a: str, mark: str, gap: str, b: str, corpus: Corpus) -> bool:

@@ -2,6 +2,7 @@
 
 import base64
 import random
+import time
 import unicodedata
 
 import numpy as np
@@ -345,6 +346,14 @@ def test_scans_keep_what_the_corpus_does_not_speak_against():
     assert scans.joined(broken, scans.Corpus(share={"bosque": 1.0}))[0] == "a" + "x" * 9
 
 
+def test_scans_of_very_long_texts():
+    corpus = scans.Corpus(share={"bosque": 0.9}, lower={"bosque": 1.0}, heads=["manuaideiafioradeiistmo"], endings={"aceae"})
+    for text in ("x" * 300_000, "a-\n" * 50_000, "Manual de la Flora del Istmo 12 " * 5_000, "12 MIRVACEAE " * 5_000, "(" * 50_000):
+        begun = time.process_time()
+        scans.repair(text, corpus, True)
+        assert time.process_time() - begun < 20  # seconds; anything that is not linear takes minutes
+
+
 def test_matching(spark):
     cols = "id long, name string, auth string, syn array<string>, fam string"
     rng = random.Random(4)
