@@ -1,10 +1,12 @@
 """The same things in two tables without a common key: species by name, synonyms and author.
 
-1. Every name of a record (accepted or synonym) is taken apart into genus, epithet and author surnames; equal name
-   strings are worked on once, and so are equal pairs of genus and epithet, whatever their authors.
-2. Candidates share a band of MinHash values: of the letter triples of genus and epithet, or, in fewer rows, of both
-   together with an author. Few names differ little in both, so that few unrelated ones meet by chance. All joins are
-   shuffled by hint, since the sizes Spark guesses for exploded keys are far too low for its own broadcasts.
+1. Every name of a record (accepted or synonym) is taken apart into genus, epithet and author; equal pairs of genus and
+   epithet are compared once, whatever their authors.
+2. Candidates are all pairs of names with at most MOST_EDITS edits in genus and epithet together. One of the two words
+   then has at most one edit, and two such words share a form with at most one letter left out. These forms are made of
+   the distinct words only, which are far fewer than the names; names meet under a near word, and what the other word
+   may differ by is tested within that join, before anything is written. All joins are shuffled by hint, since the sizes
+   Spark guesses are too low for its own broadcasts.
 3. Name pairs get features (edits in genus and epithet, agreement of authors), record pairs the best of their name
    pairs, how many agree, and the families.
 4. A logistic classifier is trained on weak labels, some of them with the author hidden, and calibrated on held-out ones.
@@ -14,7 +16,6 @@ from __future__ import annotations
 
 import re
 import unicodedata as u
-import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,28 +26,22 @@ from pyspark.sql import types as T
 
 from frondara.llm.gazetteer import distance
 from frondara.llm.lookalikes import unify
-from frondara.session import cut
-
-#: Bands over names, rows of the genus' and of the epithet's MinHash in one; bands with an author, of one row each.
-BANDS, GENUS_ROWS, ROWS, AUTHOR_BANDS = 40, 2, 2, 24
-#: Letters in a row that count as one feature.
-GRAM = 3
-#: Letters of an epithet's end that don't count for blocking, since endings are shared by very many names.
-ENDING = 4
-#: Most edits of a name pair, and most if exchanged neighbours count two, which the JVM can tell before Python does.
+from frondara.session import broadcast_if_small, cut
+
+#: Most edits of a name pair, genus and epithet together; below 4, so that one of the two has one at most.
 MOST_EDITS = 3
-MOST_PLAIN_EDITS = 2 * MOST_EDITS
 #: Labelled pairs used for training at most, taken in the order of a hash; the bound of the training set.
 TRAIN_ROWS = 20_000
+#: Penalties of the weights that training tries; the held-out pairs decide.
+RIDGES = (1e-2, 1e-3, 1e-4)
 #: Letters of a surname that must agree; abbreviations keep at least these.
 SURNAME = 4
 _JOINING = frozenset("y et and ex in e f filius fil".split())
-_rng = np.random.default_rng(20_240_611)
-_N = BANDS * (GENUS_ROWS + ROWS)
-_SEEDS = _rng.integers(0, 1 << 63, _N).astype(np.uint64)
 
 
 def _plain(text: str) -> str:
+    if text.isascii():
+        return text.lower()
     return "".join(c for c in u.normalize("NFKD", unify(text).lower()) if not u.combining(c))
 
 
@@ -93,68 +88,9 @@ def split_name(raw: str | None) -> tuple[str, str, str]:
     return re.sub(r"[^a-z]", "", genus), re.sub(r"[^a-z]", "", epithet), " ".join(words[2:])
 
 
-def _grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(gram hashes of all words, first gram of each word): GRAM letters in a row, whatever their order, so that exchanged
-    neighbours change little. A word has as many grams as letters."""
-    pad = "^" * (GRAM - 1)
-    code = np.frombuffer("".join([pad + w for w in words]).encode("utf-32-le"), "<u4").astype(np.uint64)
-    sizes = np.array([len(w) for w in words], np.int64)
-    first = np.cumsum(sizes) - sizes
-    at = np.arange(sizes.sum()) + np.repeat((np.arange(len(words)) + 1) * (GRAM - 1), sizes)
-    row = np.sort(np.stack([code[at - k] for k in range(GRAM)]), axis=0)
-    out = np.zeros(len(at), np.uint64)
-    for x in row:
-        out = (out ^ x) * np.uint64(0x9E3779B97F4A7C15)
-        out ^= out >> np.uint64(32)
-    return out, first
-
-
-def _minhash(words: list[str], which: slice) -> np.ndarray:
-    """One row a word: the least hash of its grams under each of the hash functions, which must mix well to be independent."""
-    grams, first = _grams(words)
-    seeds = _SEEDS[which]
-    out = np.empty((len(words), len(seeds)), np.uint64)
-    for k, seed in enumerate(seeds):
-        x = (grams ^ seed) * np.uint64(0xBF58476D1CE4E5B9)
-        x ^= x >> np.uint64(29)
-        x *= np.uint64(0x94D049BB133111EB)
-        out[:, k] = np.minimum.reduceat(x ^ (x >> np.uint64(32)), first)
-    return out
-
-
-def block_keys(genera: list[str], epithets: list[str], surnames_of: list[list[str]]) -> list[list[int]]:
-    """The keys under which each name meets others; a name without genus or epithet meets none."""
-    whole = [i for i, (g, e) in enumerate(zip(genera, epithets)) if g and e]
-    out: list[list[int]] = [[] for _ in genera]
-    if not whole:
-        return out
-    stems = [e[:-ENDING] if len(e) > ENDING + 3 else e for e in (epithets[i] for i in whole)]
-    edge = BANDS * GENUS_ROWS
-    with np.errstate(over="ignore"):
-        g = _minhash([genera[i] for i in whole], slice(0, edge)).reshape(-1, BANDS, GENUS_ROWS)
-        e = _minhash(stems, slice(edge, _N)).reshape(-1, BANDS, ROWS)
-
-        def mixed(*cols: np.ndarray) -> np.ndarray:
-            keys = np.broadcast_to(np.arange(cols[0].shape[1], dtype=np.uint64), cols[0].shape).copy()
-            for col in cols:
-                keys = (keys ^ col) * np.uint64(0x9E3779B97F4A7C15)
-                keys ^= keys >> np.uint64(29)
-            return keys
-
-        names = mixed(*(g[:, :, k] for k in range(GENUS_ROWS)), *(e[:, :, k] for k in range(ROWS))).view(np.int64)
-        short = mixed(g[:, :AUTHOR_BANDS, 0], e[:, :AUTHOR_BANDS, 0])
-        for row, i in enumerate(whole):
-            keys = names[row].tolist()
-            for s in surnames_of[i]:
-                salt = np.uint64(zlib.crc32(s.encode()) + (1 << 40))
-                keys += ((short[row] ^ salt) * np.uint64(0xD6E8FEB86659FD93)).view(np.int64).tolist()
-            out[i] = keys
-    return out
-
-
 _TEXT = T.StringType()
-_PARSED = T.StructType([*(T.StructField(c, _TEXT) for c in ("genus", "epithet", "author")), T.StructField("heads", T.ArrayType(_TEXT))])
-_EDITS = T.StructType([T.StructField("d_genus", T.IntegerType()), T.StructField("d_epithet", T.IntegerType())])
+_PARSED = T.StructType([T.StructField(c, _TEXT) for c in ("genus", "epithet", "author")])
+_EDITS = T.StructType([T.StructField("d_key", T.IntegerType()), T.StructField("d_other", T.IntegerType())])
 
 
 @F.pandas_udf(_PARSED)
@@ -162,28 +98,24 @@ def _parsed(raw: pd.Series, authority: pd.Series) -> pd.DataFrame:
     rows = []
     for r, a in zip(raw, authority):
         genus, epithet, inline = split_name(r)
-        author = a or inline
-        rows.append((genus, epithet, author, sorted({s[:SURNAME] for part in surnames(author) for s in part if len(s) >= SURNAME})))
-    return pd.DataFrame(rows, columns=["genus", "epithet", "author", "heads"])
-
-
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def _keys(genus: pd.Series, epithet: pd.Series, heads: pd.Series) -> pd.Series:
-    return pd.Series(block_keys(genus.tolist(), epithet.tolist(), [list(h) for h in heads]))
+        rows.append((genus, epithet, a or inline))
+    return pd.DataFrame(rows, columns=["genus", "epithet", "author"])
 
 
 @F.pandas_udf(_EDITS)
-def _edits(g1: pd.Series, e1: pd.Series, g2: pd.Series, e2: pd.Series) -> pd.DataFrame:
-    rows = []
-    for p, q, r, s in zip(g1, e1, g2, e2):
-        dg = distance(p, r)
-        rows.append((dg, distance(q, s) if dg <= MOST_EDITS else 9))
-    return pd.DataFrame(rows, columns=["d_genus", "d_epithet"])
+def _edits(k1: pd.Series, o1: pd.Series, k2: pd.Series, o2: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([(distance(p, r), distance(q, s)) for p, q, r, s in zip(k1, o1, k2, o2)], columns=["d_key", "d_other"])
 
 
 @F.pandas_udf(T.DoubleType())
 def _agreement(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([author_agreement(x, y) for x, y in zip(a, b)], dtype=float)
+    known: dict[tuple[str | None, str | None], float] = {}
+    out = []
+    for pair in zip(a, b):
+        if pair not in known:
+            known[pair] = author_agreement(*pair)
+        out.append(known[pair])
+    return pd.Series(out, dtype=float)
 
 
 def _names(df: DataFrame, rec: str, name: str, authority: str, synonyms: str, family: str) -> DataFrame:
@@ -204,16 +136,20 @@ def _names(df: DataFrame, rec: str, name: str, authority: str, synonyms: str, fa
 
 
 def _forms(names: DataFrame) -> DataFrame:
-    """Distinct (raw, authority) with an id, taken apart, and the id of its pair of genus and epithet."""
-    forms = names.select("raw", "authority").distinct().withColumn("p", _parsed("raw", "authority")).select("raw", "authority", "p.*")
-    return cut(forms.withColumns({"form": F.monotonically_increasing_id(), "name": F.xxhash64("genus", "epithet")}))
+    """``names`` taken apart, with the id of their pair of genus and epithet; those without one of the two are left out."""
+    parsed = names.withColumn("p", _parsed("raw", "authority")).select("rec", "family", "accepted", "p.*")
+    return parsed.where((F.col("genus") != "") & (F.col("epithet") != "")).withColumn("name", F.xxhash64("genus", "epithet"))
 
 
 def _blocked(forms: DataFrame) -> DataFrame:
-    """(name, genus, epithet, keys): one row for each pair of genus and epithet, under the authors of all its forms."""
-    heads = forms.select("name", "genus", "epithet", F.explode_outer("heads").alias("head"))
-    one = heads.groupBy("name", "genus", "epithet").agg(F.collect_set("head").alias("heads"))
-    return cut(one.select("name", "genus", "epithet", _keys("genus", "epithet", "heads").alias("keys")))
+    """(name, genus, epithet): one row for each pair of genus and epithet, under whatever authors."""
+    return forms.select("name", "genus", "epithet").distinct()
+
+
+def _by_word(genus_epithet: DataFrame, n: str) -> DataFrame:
+    """(kind, key, other): each name under its genus (kind 0) and under its epithet (kind 1); columns begin with ``n``."""
+    both = [F.struct(F.lit(k).cast("byte").alias("kind"), F.col(a).alias(n + "key"), F.col(b).alias(n + "other")) for k, a, b in ((0, "genus", "epithet"), (1, "epithet", "genus"))]
+    return genus_epithet.select(F.explode(F.array(*both)).alias("x")).select("x.*")
 
 
 def _shuffled(a: DataFrame, b: DataFrame, on) -> DataFrame:
@@ -221,6 +157,45 @@ def _shuffled(a: DataFrame, b: DataFrame, on) -> DataFrame:
     return a.join(b.hint("merge"), on)
 
 
+def _near_words(forms: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """(kind, lkey, rkey): genera, and epithets, of both sides that are equal once a letter of each may be left out; all
+    within one edit, exchanged neighbours too, are among them."""
+    sides = []
+    for f, n in zip(forms, "lr"):
+        words = _by_word(f, n).select("kind", n + "key").distinct()
+        word = F.col(n + "key")
+        without = F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.concat(F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, F.length(word))))
+        sides.append(words.select("kind", n + "key", F.explode(F.array_distinct(F.concat(F.array(word), without))).alias("left_out")))
+    return cut(_shuffled(*sides, ["kind", "left_out"]).select("kind", "lkey", "rkey").distinct())
+
+
+def _letters(n: str) -> Column:
+    """The set of letters of the other word, a bit for each."""
+    return F.expr(f"aggregate(split({n}other, ''), 0, (a, x) -> a | shiftleft(1, ascii(x) - 97))").alias(n + "letters")
+
+
+def _near_names(forms: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """(lname, rname, d_genus, d_epithet) of all names within MOST_EDITS, each pair once.
+
+    With k edits, t of them exchanges, plain edits are at most k + t, and at most 2 (k - t) letters are in one word only:
+    so the JVM tells from both what can't be within k.
+    """
+    lw, rw = (_by_word(_blocked(f), n).select("*", _letters(n)) for f, n in zip(forms, "lr"))
+    near = broadcast_if_small(_near_words(forms))
+    met = _shuffled(lw, rw.join(near, ["kind", "rkey"]), ["kind", "lkey"])
+    most = F.when(F.col("lkey") == F.col("rkey"), MOST_EDITS).otherwise(MOST_EDITS - 1)
+    apart = F.bit_count(F.col("lletters").bitwiseXOR(F.col("rletters")))
+    plain = F.levenshtein("lother", "rother", 2 * MOST_EDITS)
+    met = met.where((apart <= 2 * most) & (F.abs(F.octet_length("lother") - F.octet_length("rother")) <= most))
+    met = met.where((plain >= 0) & (apart <= 2 * (2 * most - plain)))
+    met = met.withColumn("c", _edits("lkey", "lother", "rkey", "rother")).where(F.col("c.d_key") + F.col("c.d_other") <= MOST_EDITS)
+    # A pair that meets under both words counts under the genus.
+    met = met.where(F.when(F.col("kind") == 0, F.col("c.d_key") <= 1).otherwise(F.col("c.d_other") > 1))
+    genus, epithet = (lambda n: F.when(F.col("kind") == 0, F.col(n[0])).otherwise(F.col(n[1]))), (lambda n: F.when(F.col("kind") == 0, F.col(n[1])).otherwise(F.col(n[0])))
+    ids = [F.xxhash64(genus(n), epithet(n)).alias(alias) for n, alias in ((("lkey", "lother"), "lname"), (("rkey", "rother"), "rname"))]
+    return met.select(*ids, genus(("c.d_key", "c.d_other")).alias("d_genus"), epithet(("c.d_key", "c.d_other")).alias("d_epithet"))
+
+
 @dataclass
 class Classifier:
     """Logistic weights over FEATURES, and the calibration of its score."""
@@ -240,11 +215,16 @@ class Classifier:
 FEATURES = ("d_genus", "d_epithet", "agree", "disagree", "more_agree", "family_same", "family_other", "both_accepted")
 
 
+def _shares(y: np.ndarray) -> np.ndarray:
+    """What each row weighs: both classes weigh alike."""
+    return np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 40) -> np.ndarray:
     """Ridge logistic regression by Newton steps; the first weight is the intercept. Both classes weigh alike."""
     x = np.column_stack([np.ones(len(x)), x])
     w = np.zeros(x.shape[1])
-    share = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
+    share = _shares(y)
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         grad = x.T @ (share * (p - y)) + ridge * np.r_[0, w[1:]] / 10
@@ -260,7 +240,9 @@ def train(pairs: DataFrame) -> Classifier:
     """Fit on weak labels: at most two edits and agreeing authors, against unrelated authors.
 
     Each labelled pair counts a second time with its author hidden if its names are equal and it is positive, or if its
-    names differ by more than two edits and it is negative, so that the names alone get their weight too.
+    names differ by more than two edits and it is negative, so that the names alone get their weight too. Of the penalties,
+    that with the least loss on the held-out pairs is taken: how much it holds the weights of the authors down depends on how
+    many far pairs there are.
     """
     near = F.col("d_genus") + F.col("d_epithet")
     label = F.when((F.col("agree") == 1) & (near <= 2) & (F.col("disagree") == 0), 1).when((F.col("disagree") == 1) & (F.col("agree") == 0), 0)
@@ -273,12 +255,28 @@ def train(pairs: DataFrame) -> Classifier:
     both = pd.concat([sample, hidden], ignore_index=True)
     x, y = both[list(FEATURES)].to_numpy(float), both["label"].to_numpy(float)
     held = np.arange(len(y)) % 4 == 0
-    w = _logistic(x[~held], y[~held])
-    score = np.column_stack([np.ones(held.sum()), x[held]]) @ w
+    fits = []
+    for ridge in RIDGES:
+        w = _logistic(x[~held], y[~held], ridge)
+        score = np.column_stack([np.ones(held.sum()), x[held]]) @ w
+        fits.append(((_shares(y[held]) * np.logaddexp(0, np.where(y[held] == 1, -score, score))).sum(), w, score))
+    _, w, score = min(fits, key=lambda fit: fit[0])
     c = _logistic(score[:, None], y[held]) if len(set(y[held])) == 2 else np.array([0.0, 1.0])
     return Classifier(w, float(c[1]), float(c[0]))
 
 
+def _packed(*digits: Column) -> Column:
+    """Whole numbers from 0 to 3 as one that sorts as they do one after the other; rows of it take little room."""
+    out = F.lit(0)
+    for x in digits:
+        out = out * 4 + x
+    return out
+
+
+def _unpacked(code: Column, n: int) -> list[Column]:
+    return [F.shiftright(code, 2 * (n - 1 - k)).bitwiseAND(F.lit(3)) for k in range(n)]
+
+
 def match_names(left: DataFrame, right: DataFrame, left_cols: dict[str, str], right_cols: dict[str, str]) -> DataFrame:
     """(left, right, confidence) of all candidate record pairs.
 
@@ -287,40 +285,26 @@ def match_names(left: DataFrame, right: DataFrame, left_cols: dict[str, str], ri
     repeated records count each; an empty table gives no pairs.
     """
     order = ("rec", "name", "authority", "synonyms", "family")
-    sides = []
-    for df, cols in ((left, left_cols), (right, right_cols)):
-        names = _names(df, *(cols[c] for c in order))
-        sides.append((names, _forms(names)))
-    (ln, lf), (rn, rf) = sides
-    blocks = [_blocked(f) for f in (lf, rf)]
-    keys = [f.select(F.col("name").alias(n), F.explode("keys").alias("key")) for f, n in zip(blocks, ("lname", "rname"))]
-    met = _shuffled(*keys, "key").select("lname", "rname").distinct()
-    part = [f.select(*[F.col(c).alias(n + c) for c in ("name", "genus", "epithet")]) for f, n in zip(blocks, "lr")]
-    pairs = _shuffled(_shuffled(met, part[0], "lname"), part[1], "rname")
-    plain = [F.levenshtein("l" + c, "r" + c, MOST_PLAIN_EDITS) for c in ("genus", "epithet")]
-    pairs = pairs.where((plain[0] >= 0) & (plain[1] >= 0) & (plain[0] + plain[1] <= MOST_PLAIN_EDITS))
-    pairs = pairs.withColumn("c", _edits("lgenus", "lepithet", "rgenus", "repithet")).where(F.col("c.d_genus") + F.col("c.d_epithet") <= MOST_EDITS)
-    pairs = pairs.select("lname", "rname", "c.*")
-    for forms, n in ((lf, "l"), (rf, "r")):
-        pairs = _shuffled(pairs, forms.select(*[F.col(c).alias(n + c) for c in ("name", "form", "author")]), n + "name")
-    pairs = pairs.select("lform", "rform", "d_genus", "d_epithet", _agreement("lauthor", "rauthor").alias("agreement"))
-    named = []
-    for names, forms, n in ((ln, lf, "l"), (rn, rf, "r")):
-        known = forms.select(F.col("form").alias(n + "form"), F.col("raw").alias("fraw"), F.col("authority").alias("fauthority"))
-        same = F.col("raw").eqNullSafe(F.col("fraw")) & F.col("authority").eqNullSafe(F.col("fauthority"))
-        named.append(_shuffled(names, known, same).select(n + "form", *[F.col(c).alias(n + c) for c in ("rec", "family", "accepted")]))
-    full = _shuffled(_shuffled(pairs, named[0], "lform"), named[1], "rform")
-    agrees, unrelated = F.col("agreement") >= 0.5, (F.col("agreement") >= 0) & (F.col("agreement") < 0.34)
+    forms = tuple(_forms(_names(df, *(cols[c] for c in order))) for df, cols in ((left, left_cols), (right, right_cols)))
+    full = _near_names(forms)
+    for f, n in zip(forms, "lr"):
+        full = _shuffled(full, f.select(*[F.col(c).alias(n + c) for c in ("name", "rec", "family", "accepted", "author")]), n + "name")
+    agreement, family = F.col("agreement"), (F.lower("lfamily"), F.lower("rfamily"))
+    agrees, unrelated = agreement >= 0.5, (agreement >= 0) & (agreement < 0.34)
     rank = F.when(agrees, 2).when(unrelated, 0).otherwise(1)
-    best = F.struct(rank.alias("rank"), (-(F.col("d_genus") + F.col("d_epithet"))).alias("near"), "d_genus", "d_epithet", "lfamily", "rfamily", (F.col("laccepted") & F.col("raccepted")).alias("both"))
-    grouped = full.groupBy(F.col("lrec").alias("left"), F.col("rrec").alias("right")).agg(F.max(best).alias("b"), F.sum(agrees.cast("int")).alias("k"), F.max(unrelated.cast("int")).alias("u"))
-    family = (F.lower("b.lfamily"), F.lower("b.rfamily"))
-    known = F.coalesce(family[0] == family[1], F.lit(False)), F.coalesce(family[0] != family[1], F.lit(False))
-    rows = grouped.select(
-        "left", "right", F.col("b.d_genus").cast("double").alias("d_genus"), F.col("b.d_epithet").cast("double").alias("d_epithet"),
-        (F.col("b.rank") == 2).cast("double").alias("agree"), (F.col("u") == 1).cast("double").alias("disagree"),
-        F.least(F.greatest(F.col("k") - 1, F.lit(0)), F.lit(2)).cast("double").alias("more_agree"),
-        known[0].cast("double").alias("family_same"), known[1].cast("double").alias("family_other"), F.col("b.both").cast("double").alias("both_accepted"),
-    )
-    rows = cut(rows)
+    kin = F.when(family[0] == family[1], 2).when(family[0] != family[1], 1).otherwise(0)
+    both = (F.col("laccepted") & F.col("raccepted")).cast("int")
+    best = _packed(rank, MOST_EDITS - F.col("d_genus") - F.col("d_epithet"), F.col("d_genus"), F.col("d_epithet"), kin, both)
+    full = full.withColumn("agreement", _agreement("lauthor", "rauthor"))
+    edits = F.col("d_genus") + F.col("d_epithet")
+    grouped = full.groupBy(F.col("lrec").alias("left"), F.col("rrec").alias("right")).agg(
+        F.max(best).alias("b"), F.sum(agrees.cast("int")).alias("k"), F.min(F.when(agrees, edits)).alias("agreeing"), F.min(F.when(unrelated, edits)).alias("other")
+    )
+    # Unrelated authors say nothing where names nearer than theirs agree: a record's own names can be near each other.
+    disagrees = F.coalesce(F.col("other") <= F.coalesce("agreeing", F.lit(MOST_EDITS)), F.lit(False)).cast("int")
+    rank, _, d_genus, d_epithet, kin, both = _unpacked(F.col("b"), 6)
+    more = F.least(F.greatest(F.col("k") - 1, F.lit(0)), F.lit(2)).cast("int")
+    features = (d_genus, d_epithet, (rank == 2).cast("int"), disagrees, more, (kin == 2).cast("int"), (kin == 1).cast("int"), both)
+    rows = cut(grouped.select("left", "right", _packed(*features).alias("code")))
+    rows = rows.select("left", "right", *[x.cast("double").alias(c) for x, c in zip(_unpacked(F.col("code"), len(FEATURES)), FEATURES)])
     return rows.select("left", "right", train(rows).confidence().alias("confidence"), *FEATURES)

@@ -421,3 +421,61 @@ def test_matching_hot_name_and_no_broadcast(spark):
     assert {r.left for r in got.collect() if r.right == 0} == set(range(0, 300, 3))
     keys = [matching._blocked(matching._forms(matching._names(spark.createDataFrame(x, cols), "id", "name", "auth", "syn", "fam"))) for x in (left, right)]
     assert max(r.n for r in keys[0].groupBy("name").agg(F.count("*").alias("n")).collect()) == 1
+
+
+def test_matching_finds_all_within_three_edits(spark):
+    # Names of few genera, so that many differ by three edits; all pairs within three by brute force, and no others.
+    cols = "id long, name string, auth string, syn array<string>, fam string"
+    rng = random.Random(13)
+    word = lambda n: "".join(rng.choice("bdgl") + rng.choice("aio") for _ in range(n))
+    genera = [word(4) for _ in range(12)]
+    genera += [g[:k] + g[k + 1] + g[k] + g[k + 2 :] for g in genera[:4] for k in (1, 4)] + [g[2:] + "n" for g in genera[4:7]] + [g[:-3] for g in genera[7:9]]
+    sides = [[(i, f"{rng.choice(genera).capitalize()} {word(3)}{rng.choice(['ana', 'osa', 'na'])}", f"{word(3).capitalize()}n", [], None) for i in range(200)] for _ in range(2)]
+    sides[1] += [(1000 + i, f"{g} {e}", None, None, None) for i, (g, e) in enumerate(n.split() for _, n, *_ in sides[0][:20])]
+    sides[1] += [(2000 + i, f"{g[:-3]} {e}", None, None, None) for i, (g, e) in enumerate(n.split() for _, n, *_ in sides[0][:20])]
+    apart = {}
+    for i, a, *_ in sides[0]:
+        for j, b, *_ in sides[1]:
+            (p, q), (r, s) = a.lower().split(), b.lower().split()
+            apart[i, j] = gazetteer.distance(p, r), gazetteer.distance(q, s)
+    want = {k: d for k, d in apart.items() if sum(d) <= 3}
+    c = {"rec": "id", "name": "name", "authority": "auth", "synonyms": "syn", "family": "fam"}
+    got = {(r.left, r.right): (r.d_genus, r.d_epithet) for r in matching.match_names(*[spark.createDataFrame(x, cols) for x in sides], c, c).collect()}
+    assert got == want
+    assert set(want.values()) >= {(0, 0), (0, 3), (1, 2), (2, 1), (3, 0)}
+
+
+def test_matching_writes_little(spark):
+    # Names that meet nothing, under two authors each: what is shuffled for one of them.
+    cols = "id long, name string, auth string, syn array<string>, fam string"
+    rng = random.Random(14)
+    word = lambda n: "".join(rng.choice("bcdfglmnprstvz") + rng.choice("aeiou") for _ in range(n))
+    genera, epithets = [word(5).capitalize() for _ in range(300)], [word(5) for _ in range(600)]
+    sides = [[(i, f"{rng.choice(genera)} {rng.choice(epithets)}", f"{word(3)}n & {word(4)}s", [], None) for i in range(4000)] for _ in range(2)]
+    c = {"rec": "id", "name": "name", "authority": "auth", "synonyms": "syn", "family": "fam"}
+
+    def written():
+        executors = spark.sparkContext._jsc.sc().statusStore().executorList(True)
+        return sum(executors.apply(k).totalShuffleWrite() for k in range(executors.size()))
+
+    before = written()
+    matching.match_names(*[spark.createDataFrame(x, cols) for x in sides], c, c).count()
+    assert (written() - before) / 8000 < 400  # bytes a name
+
+
+def test_matching_own_near_names_do_not_disagree(spark):
+    # The synonym is three edits from the accepted name and has another author, in both records: the equal names agree.
+    cols = "id long, name string, auth string, syn array<string>, fam string"
+    rec = (0, "Taliruzolus satifunilis", "Burvira", ["Taliruzolus ravinunilis Brauckisch"], None)
+    c = {"rec": "id", "name": "name", "authority": "auth", "synonyms": "syn", "family": "fam"}
+    got = matching.match_names(spark.createDataFrame([rec], cols), spark.createDataFrame([rec, (1, "Taliruzolus satifunilis", "Zognulo", [], None)], cols), c, c)
+    assert {r.right: (r.agree, r.disagree) for r in got.collect()} == {0: (1, 0), 1: (0, 1)}
+
+
+def test_matching_homonyms_beside_many_far_pairs(spark):
+    # Equal names of unrelated authors are apart, however many pairs three edits apart there are to learn from.
+    kinds = [((0, 0, 1, 0, 0, 1, 0, 1), 900), ((0, 1, 1, 0, 0, 1, 0, 0), 100), ((0, 0, 0, 1, 0, 0, 1, 0), 60), ((0, 0, 0, 1, 0, 1, 0, 1), 4), ((0, 3, 0, 1, 0, 1, 0, 0), 600)]
+    rows = [(n, i, *map(float, x)) for n, (x, times) in enumerate(kinds) for i in range(times)]
+    pairs = spark.createDataFrame(rows, ["left", "right", *matching.FEATURES])
+    got = {r.left: r.c for r in pairs.select("left", matching.train(pairs).confidence().alias("c")).distinct().collect()}
+    assert got[0] > 0.5 and got[1] > 0.5 and max(got[2], got[3], got[4]) < 0.5
